@@ -36,8 +36,28 @@ class ByteTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [(t.content, i.to_bytes(4, "little")) for i, t in self.library.get_added_tokens_decoder().items()]
-        self.memo = Memo(self._whole)
-        self.chunks = Memo(lambda chunk: self._chunk(" " + chunk))
+        self.memo = Memo(self._merge_function(path))
+        self.chunks = Memo(lambda chunk: self._chunk(" " + chunk), 600_000)
+
+    def _merge_function(self, path: str):
+        """Encoder of one pre-token: tiktoken's merges where the file's ids are its merge ranks, else the library."""
+        import json
+        from array import array
+
+        import tiktoken
+
+        from .bpe import byte_chars
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back = {c: b for b, c in enumerate(byte_chars())}
+        in_order = (x if isinstance(x, str) else " ".join(x) for x in model["merges"])
+        ranked = all(model["vocab"].get(x.replace(" ", "")) == 256 + i for i, x in enumerate(in_order))
+        if not ranked or any(model["vocab"].get(c, 256) > 255 for c in back) or array("I").itemsize != 4:
+            return self._whole
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(model["merges"])}
+        core = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return lambda piece: array("I", core.encode_single_piece(piece.encode())).tobytes()
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
