@@ -170,9 +170,13 @@ def records_in(source: Source, start: int, end: int) -> Iterator[tuple[int, byte
 
 
 def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 8_000_000) -> DataFrame:
-    """The records of archives (file, bytes): (file, position, headers MAP, payload BINARY)."""
+    """The records of archives (file, bytes): (file, position, headers MAP, named STRING, payload BINARY).
+
+    ``named`` is the payload digest that the headers name, as lower-case hex. Each split is a task of its own.
+    """
+    splits = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     spans = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")).where("bytes > 0")
-    schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("named", pa.string()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +188,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 8_000_00
                         head, _, rest = content.partition(b"\r\n\r\n")
                         headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in x)
                         body = rest[: int(headers.get("Content-Length", len(rest)))]
-                        rows.append((file, position, list(headers.items()), body.partition(b"\r\n\r\n")[2]))
+                        rows.append((file, position, list(headers.items()), hex_of(headers.get("WARC-Payload-Digest")), body.partition(b"\r\n\r\n")[2]))
                         held += len(body)
                         if held > 8_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -192,7 +196,12 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 8_000_00
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return spans.repartition("file", "start").mapInArrow(read, "file string, position long, headers map<string,string>, payload binary")
+    return spans.repartition(min(int(splits), 100_000), "file", "start").mapInArrow(read, "file string, position long, headers map<string,string>, named string, payload binary")
+
+
+def hex_of(digest: str | None) -> str | None:
+    """Lower-case hex of a header's base-32 SHA-1; None for other digests."""
+    return base64.b32decode(digest.removeprefix("sha1:")).hex() if digest and digest.startswith("sha1:") else None
 
 
 
@@ -202,19 +211,12 @@ def page_records(records: DataFrame) -> DataFrame:
     h = lambda name: F.col("headers").getItem(name)
     response = h("WARC-Type") == "response"
 
-    def hexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(4).to_pylist()
-            text = [base64.b32decode(x.removeprefix("sha1:")).hex() if x else None for x in names]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(text, pa.string()), *batch.columns[5:]], names=batch.schema.names)
-
     rows = records.select(
         h("Page-Id").cast("long").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(h("Payload-Length").cast("long")).alias("payload_bytes"),
         h("WARC-Type").alias("record_type"),
         h("Refers-To-Page-Id").cast("long").alias("refers_to"),
-        h("WARC-Payload-Digest").alias("named"),
+        "named",
         F.when(response, F.sha1("payload")).alias("computed"),
     )
-    out = rows.mapInArrow(hexed, rows.schema)
-    return out.select("page_id", "payload_bytes", F.coalesce("computed", "named").alias("payload_digest"), "record_type", "refers_to", (F.coalesce("computed", "named") == F.col("named")).alias("digest_matches"))
+    return rows.select("page_id", "payload_bytes", F.coalesce("computed", "named").alias("payload_digest"), "record_type", "refers_to", (F.coalesce("computed", "named") == F.col("named")).alias("digest_matches"))
