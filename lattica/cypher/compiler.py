@@ -266,7 +266,7 @@ class Expressions:
         ca, ta = self.typed(a)
         cb, tb = self.typed(b)
         if sign == "=~":
-            return ca.rlike_(cb) if hasattr(ca, "rlike_") else F.rlike(ca, F.concat(F.lit(r"\A(?:"), cb, F.lit(r")\z"))) if isinstance(ta, T.StringType) else F.lit(None).cast("boolean")
+            return F.rlike(ca, F.concat(F.lit(r"\A(?:"), cb, F.lit(r")\z"))) if isinstance(ta, T.StringType) else F.lit(None).cast("boolean")
         for entry, column in ((a, "ca"), (b, "cb")):
             if entry[0] == "var" and entry[1] in self.state.scope and entry[1] not in self.local and self.state.scope[entry[1]].kind in ("node", "rel"):
                 ident, kind = F.col(self.state.scope[entry[1]].ident), T.LongType()

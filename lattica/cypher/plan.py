@@ -600,6 +600,9 @@ class Planner:
                 key_columns.append(column)
         carried = list(dict.fromkeys(c for c in carried if c not in key_columns))
         hidden: list[str] = []
+        late: list[tuple[str, tuple]] = []
+        if aggregated:  # window calls see the groups: what they read becomes columns of the groups
+            select, keys, key_columns, late = self.split_windows(lifted, scope, ex, select, keys, key_columns, aggs, hidden)
         orders = []
         by_expr = {repr(e): a for e, a in items}
         for e, down in clause.order:
@@ -619,6 +622,8 @@ class Planner:
             grouped = [*[F.col(c) for c in self.carry if c not in key_columns], *keys]
             firsts = [F.first(c).alias(c) for c in carried if c not in self.carry]
             df = base.groupBy(*grouped).agg(*firsts, *aggs) if grouped else base.agg(*aggs)
+            for column, e in late:
+                df = df.withColumn(column, Expressions(self.ctx, State(df, scope)).column(e))
         else:
             entity_columns = list(dict.fromkeys([c for e in scope.values() if e.kind != "value" for c in e.columns()] + self.carry))
             df = state.df.select(*[F.col(c) for c in entity_columns], *select)
@@ -634,6 +639,42 @@ class Planner:
     def mixed(self, ex: Expressions, e):
         return ex.column(e)
 
+    def split_windows(self, items, scope, ex, select, keys, key_columns, aggs, hidden):
+        """Take items with OVER out of the keys of a grouped projection; they are computed on the groups."""
+        late = []
+        plain = {repr(e): scope[a].ident for e, a in items if not _has_over(e)}
+
+        def group_column(e):
+            if not isinstance(e, tuple) or not e or e[0] in ("lit", "param", "star"):
+                return e
+            if repr(e) in plain:
+                return ("col", plain[repr(e)])
+            column = fresh("w")
+            hidden.append(column)
+            plain[repr(e)] = column
+            if has_aggregate(e, self.ctx):
+                aggs.append(ex.column(e).alias(column))
+            else:
+                keys.append(ex.column(e).alias(column))
+                key_columns.append(column)
+            return ("col", column)
+
+        def rewrite(e):
+            if isinstance(e, tuple) and e and e[0] == "over":
+                _, call, partition, order = e
+                return ("over", ("fn", call[1], [group_column(a) for a in call[2]], call[3]), [group_column(p) for p in partition], [(group_column(o), d) for o, d in order])
+            if isinstance(e, tuple):
+                return tuple(rewrite(x) for x in e)
+            return [rewrite(x) for x in e] if isinstance(e, list) else e
+
+        for e, alias in items:
+            if _has_over(e):
+                column = scope[alias].ident
+                at = key_columns.index(column)
+                del keys[at], key_columns[at]
+                late.append((column, rewrite(e)))
+        return select, keys, key_columns, late
+
     def distinct(self, state: State, hidden: list[str]) -> State:
         subset = list(dict.fromkeys([e.ident for e in state.scope.values()] + self.carry))
         maps = [f.name for f in state.df.schema if f.name in subset and isinstance(f.dataType, T.MapType)]
@@ -752,6 +793,12 @@ def _replace(e, names: dict[str, tuple]):
     return e
 
 
+def _has_over(e) -> bool:
+    if isinstance(e, tuple) and e and e[0] == "over":
+        return True
+    return isinstance(e, (tuple, list)) and any(_has_over(x) for x in e)
+
+
 def _multiplicity_free(clause, ctx: Context) -> bool:
     """Whether a projection reads only which rows there are, not how many."""
     if not isinstance(clause, A.Projection):

@@ -125,12 +125,12 @@ def pagerank(p: Projection, damping: float = 0.85, rounds: int = 20, tolerance:
         return ids.select("id", F.lit(0.0).alias("score"))
     edges = keep(p.edges.groupBy("src", "dst").agg(F.count("*").alias("k")), "edges")
     ranks = ids.select("id", "out", F.lit(1.0 / n).alias("score"))
+    dangling = ids.where("out = 0").count() / n
     for _ in range(rounds):
-        dangling = ranks.where("out = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         base = (1 - damping) / n + damping * dangling / n
         moved = ranks.where("out > 0").join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("k") / F.col("out")).alias("got"))
         nxt = keep(ranks.join(moved, F.col("id") == F.col("dst"), "left").select("id", "out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old")), "ranks")
-        change = nxt.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        change, dangling = nxt.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("score"))), F.lit(0.0))).first()
         ranks = nxt.drop("old")
         if change < tolerance:
             break

@@ -177,7 +177,7 @@ class Engine:
             now = {}
             for n in part:
                 rows = raw_base[n] + [self.clause(c, known) for c in self.base_and_steps(n, part)[1]]
-                rel = self.fold(n, self.union(rows, known.get(n)))
+                rel = self.fold(n, self.union(rows))
                 now[n] = self.with_df(rel, keep(rel.df, n))
             same = all(self.minus(now[n].df, known[n].df).isEmpty() and self.minus(known[n].df, now[n].df).isEmpty() for n in part)
             self.profile += [(n, round_, now[n].df.count()) for n in part]

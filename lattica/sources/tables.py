@@ -55,7 +55,7 @@ def table_graph(spark: SparkSession, folder: str) -> Graph:
 def trade_graph(spark: SparkSession, folder: str) -> Graph:
     """Nations as vertices; TRADES joins a customer's nation to its neighbours by key, with weights; small and fixed."""
     g = Graph(spark)
-    nations = spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_nationkey").cast("long").alias(VID), "n_name", "n_regionkey")
+    nations = spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_nationkey").cast("long").alias(VID), "n_nationkey", "n_name", "n_regionkey")
     g.add_nodes("Nation", nations)
     a, b = nations.select(F.col(VID).alias(SRC)), nations.select(F.col(VID).alias(DST))
     pairs = a.crossJoin(b).where(f"({SRC} * 7 + {DST} * 3) % 11 = 1 and {SRC} <> {DST}")  # 25 x 25 rows
