@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +98,6 @@ def literal(text: str) -> Column:
 
 def parse_column(c: Column) -> Column:
     """Intervals of a column of texts, in Arrow batches; a malformed text gives null."""
-    import pandas as pd
 
     @F.pandas_udf(STRUCT)
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -7,9 +7,9 @@ verified by the edit similarity 1 - d / max(n, m) of their k-mer sequences, d th
 alignment; ``similarity`` (0.8) or more links two texts. Classes are the connected components of the links.
 
 Copies are one text from the start, so a group of copies is a count. A bucket (one value of one sketch) is not expanded into
-pairs: its members are compared with one of them, the one of least hash in that sketch, so different sketches have different
-centres; those it doesn't match form finer buckets, by every other sketch, in the next round, until a round has none
-or ``rounds`` are over. The work of a round is proportional to the rows of its buckets. What may be lost is a link whose two texts meet
+pairs: its members are compared with one of them, the one of least hash, which in other buckets may be another, so a group has several
+centres; those that no chain of links joins to it form finer buckets, by the next three sketches, in the next round, until a
+round has none or ``rounds`` are over. The work of a round is proportional to the rows of its buckets. What may be lost is a link whose two texts meet
 in no sketch, or only in buckets where neither matches the centre and no finer bucket holds both.
 
 Components grow by alternating min-label steps over written tables; nothing is collected but counts.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Memo, materialise
 
 K = 5
+#: Further sketches by which members of a bucket that its centre doesn't match are told apart.
+FURTHER = 3
 
 
 def _hash_run(run: str) -> bytes:
@@ -229,7 +231,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, is_kept) of each row: the class's least doc_id, and whether this row is the one that stays.
 
     Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them.
@@ -254,10 +256,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16
         tried = pairs if tried is None else tried.unionAll(pairs)
         if step + 1 == rounds:
             break
-        left = met.join(verified.select(F.col("a").alias("centre"), F.col("b").alias("word_key")), ["centre", "word_key"], "left_anti")
-        # those that the centre doesn't match meet again where they share the bucket and a second sketch
-        buckets = left.join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "bucket", F.col("s").alias("own"), F.posexplode("sketch").alias("s", "h")).where("own <> s")
-        buckets = materialise(buckets.select("word_key", F.xxhash64("bucket", "s", "h").alias("bucket"), "s"), f"finer-{step}")
+        # members that no chain of links joins to their centre meet again where they share the bucket and a further sketch
+        root = materialise(components(verified), f"roots-{step}")
+        of = lambda c: root.select(F.col("node").alias(f"_n_{c}"), F.col("root").alias(f"_r_{c}"))
+        apart = met.join(of("w"), F.col("word_key") == F.col("_n_w"), "left").join(of("c"), F.col("centre") == F.col("_n_c"), "left").where(F.coalesce("_r_w", "word_key") != F.coalesce("_r_c", "centre"))
+        further = F.transform(F.sequence(F.lit(1), F.lit(FURTHER)), lambda i: F.struct(((F.col("s") + i) % sketches).cast("int").alias("s"), F.element_at("sketch", ((F.col("s") + i) % sketches + 1).cast("int")).alias("h")))
+        finer = apart.select("word_key", "bucket", "s").join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "bucket", F.explode(further).alias("x"))
+        buckets = materialise(finer.select("word_key", F.xxhash64("bucket", "x.s", "x.h").alias("bucket"), F.col("x.s").alias("s")), f"finer-{step}")
         if buckets.isEmpty():
             break
     root = components(verified)

@@ -62,10 +62,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
     end = end_id.to_bytes(4, "little")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = byte_tokenizer(vocabulary).encode, 0
+        size, total = byte_tokenizer(vocabulary).count, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += (len(encode(text)) // 4 if text else 0) + 1
+                total += (size(text) if text else 0) + 1
         if total:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "total": [total]})
 
@@ -86,13 +86,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
 
         def flush() -> pa.RecordBatch:
             nonlocal pending, size, at
-            stream = b"".join(pending)
-            n = len(stream) // 4
+            stream = np.frombuffer(b"".join(pending), dtype="<u4").astype(kind).tobytes()
+            n = len(stream) // width
             bounds = [at, *range((at // length + 1) * length, at + n, length), at + n]
             starts = np.array(bounds[:-1], dtype=np.int64)
             slots = feistel(starts // length, n_sequences, key)
-            ids = [stream[4 * (a - at) : 4 * (b - at)] for a, b in zip(bounds, bounds[1:], strict=False)]
-            ids = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in ids]
+            ids = [stream[width * (a - at) : width * (b - at)] for a, b in zip(bounds, bounds[1:], strict=False)]
             at += n
             pending, size = [], 0
             return pa.RecordBatch.from_pydict({"shard": slots // per_shard, "slot": slots, "start": starts % length, "ids": pa.array(ids, pa.binary())})
@@ -147,7 +146,7 @@ def vocabulary_size(vocabulary: str) -> int:
     return byte_tokenizer(vocabulary).library.get_vocab_size()
 
 
-def read_token_files(files: DataFrame, layout: dict, slots_at_once: int = 2048) -> DataFrame:
+def read_token_files(files: DataFrame, layout: dict, slots_at_once: int = 4096) -> DataFrame:
     """(slot, shard, ids BINARY): each record read back from its place."""
     stride, per_shard = layout["stride"], layout["per_shard"]
     spans = files.select("file", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(slots_at_once).cast("long"))).alias("first"), "n_slots")

@@ -37,7 +37,7 @@ class ByteTokenizer:
         self.library.no_padding()
         self.special = [(t.content, i.to_bytes(4, "little")) for i, t in self.library.get_added_tokens_decoder().items()]
         self.memo = Memo(self._merge_function(path))
-        self.chunks = Memo(lambda chunk: self._chunk(" " + chunk), 600_000)
+        self.chunks = Memo(self._run, 600_000)
 
     def _merge_function(self, path: str):
         """Encoder of one pre-token: tiktoken's merges where the file's ids are its merge ranks, else the library."""
@@ -67,13 +67,25 @@ class ByteTokenizer:
     def _chunk(self, text: str) -> bytes:
         return b"".join([self.memo[x] for x in PRE_TOKEN.findall(text)])
 
-    def encode(self, text: str) -> bytes:
-        if UNVETTED.search(text) or any(content in text for content, _ in self.special):
-            return self._whole(text)
+    def _run(self, run: str) -> bytes:
+        """Ids of a blank and the run that follows it; a run of letters is one pre-token."""
+        return self.memo[" " + run] if run.isalpha() else self._chunk(" " + run)
+
+    def _parts(self, text: str) -> list[bytes]:
+        # control characters are signs to every engine, so ASCII needs no look at its characters
+        if not text.isascii() and UNVETTED.search(text) or any(content in text for content, _ in self.special):
+            return [self._whole(text)]
         if "  " in text:
-            return self._chunk(text)
+            return [self._chunk(text)]
         first, *rest = text.split(" ")  # a single blank always begins a pre-token
-        return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return [self._chunk(first), *map(self.chunks.__getitem__, rest)]
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self._parts(text))
+
+    def count(self, text: str) -> int:
+        """Number of ids."""
+        return sum(map(len, self._parts(text))) // 4
 
 
 @functools.cache

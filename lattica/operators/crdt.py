@@ -48,7 +48,7 @@ def causal_register_merge(states: DataFrame) -> DataFrame:
     actors = F.array_union(F.map_keys("a.clock"), F.map_keys("b.clock"))
     at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
     behind = F.forall(actors, lambda k: at(F.col("a.clock"), k) <= at(F.col("b.clock"), k)) & F.exists(actors, lambda k: at(F.col("a.clock"), k) < at(F.col("b.clock"), k))
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & behind, "left_anti").distinct()
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & behind, "left_anti").dropDuplicates(["key", "value"])
 
 
 def sequence_merge(ops: DataFrame) -> DataFrame:

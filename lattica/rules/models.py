@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,6 @@ def builder(model: dict, function):
         def run(batch):
             return [float(x) for x in function(batch)]
 
-        import pandas as pd
 
         @F.pandas_udf("double")
         def call(features: pd.DataFrame) -> pd.Series:
