@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, materialise
+from .common import WORD, Memo, materialise, output_name
 
 K = 5
 #: Further sketches by which members of a bucket that its centre doesn't match are told apart.
@@ -286,9 +286,9 @@ def texts_of(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, id_col: st
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One row of each class, with all columns of ``docs``; rows without words all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).where("is_kept")
-    kept = found.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    row_id, row_hash, bare, kept_id, kept_hash = (output_name(docs, f"_{n}") for n in ("row_id", "row_hash", "bare", "kept_id", "kept_hash"))
+    kept = found.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumns({"_row_id": docs[id_col].cast("long"), "_row_hash": F.xxhash64(text), "_bare": ~text.rlike(r"(?U)\w")})
-    joined = marked.join(kept, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
-    bare = joined.where("_bare")
-    return joined.where("not _bare").dropDuplicates(["_row_id", "_row_hash"]).unionAll(bare).select(docs.columns)
+    marked = docs.withColumns({row_id: docs[id_col].cast("long"), row_hash: F.xxhash64(text), bare: ~text.rlike(r"(?U)\w")})
+    joined = marked.join(kept, F.col(row_id).eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash)), "left_semi")
+    return joined.where(~F.col(bare)).dropDuplicates([row_id, row_hash]).unionAll(joined.where(bare)).select(docs.columns)

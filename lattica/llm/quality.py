@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, output_name
 
 WORDS = re.compile(r"[^ \t-\r]+")
 #: White space of str.split() that doesn't part words here.
@@ -131,9 +131,11 @@ def judge(docs: DataFrame, least: int = 20, share: float = 0.002, keep_share: fl
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, with the frequent lines taken out of their texts; all columns stay."""
     verdicts = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).where("kept")
-    verdicts = verdicts.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("removed_lines").alias("_lines")).dropDuplicates(["_id", "_host", "_hash"])
+    own_id, own_host, own_hash, gone_lines = (output_name(docs, f"_{n}") for n in ("id", "host", "hash", "lines"))
+    verdicts = verdicts.select(F.col("doc_id").alias(own_id), F.col("host").alias(own_host), F.col("text_hash").alias(own_hash), F.col("removed_lines").alias(gone_lines)).dropDuplicates([own_id, own_host, own_hash])
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    joined = docs.join(verdicts, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")) & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == F.col("_host"))).drop("_id", "_hash", "_host")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)) & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == F.col(own_host))
+    joined = docs.join(verdicts, same).drop(own_id, own_hash, own_host)
     at, lines_at = joined.columns.index(text_col), len(joined.columns) - 1
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,9 @@ import re
 from .common import Memo
 
 #: Characters that every regex engine and Unicode version classes alike; a text with others goes to the library whole.
-UNVETTED = re.compile(r"[^\t-\r -~\xa0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+UNVETTED = re.compile(r"[^\t-\r -~\xa0-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 #: Among the vetted characters: letters, numbers, white space.
-LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \xa0"
+LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \xa0"
 #: Split before the merges: contractions, letters, numbers, other signs, white space.
 PRE_TOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?(?:[{LETTERS}]+|[{NUMBERS}]+|[^{SPACES}{LETTERS}{NUMBERS}]+)|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
