@@ -7,10 +7,14 @@ verified by the edit similarity 1 - d / max(n, m) of their k-mer sequences, d th
 alignment; ``similarity`` (0.8) or more links two texts. Classes are the connected components of the links.
 
 Copies are one text from the start, so a group of copies is a count. A bucket (one value of one sketch) is not expanded into
-pairs: its members are compared with one of them, the one of least hash, which in other buckets may be another, so a group has several
-centres; those that no chain of links joins to it form finer buckets, by the next three sketches, in the next round, until a
-round has none or ``rounds`` are over. The work of a round is proportional to the rows of its buckets. What may be lost is a link whose two texts meet
-in no sketch, or only in buckets where neither matches the centre and no finer bucket holds both.
+pairs: its members are compared with one of them, the most typical, which is the one whose buckets are the largest: in a group
+of edited copies that is the text they were made from. Buckets whose members are of several classes after that are met again in
+further rounds, in finer buckets of two sketches, where members are compared with ``centres`` of other classes, drawn by a hash
+that differs from bucket to bucket. The work of a round is proportional to the rows of its buckets. What may be lost is a link
+whose two texts meet in no sketch, or are never drawn and joined by no other chain of links.
+
+Most candidates are decided by bounds of the distance: k-mers that the other text lacks must be edited, and the longest
+chain of k-mers in common order leaves gaps that an alignment can always edit. The banded alignment decides the rest.
 
 Components grow by alternating min-label steps over written tables; nothing is collected but counts.
 
@@ -21,6 +25,7 @@ representatives; extra columns are kept by ``keep_one``; empty tables give empty
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +37,13 @@ from pyspark.sql import functions as F
 from .common import WORD, Memo, materialise, output_name
 
 K = 5
-#: Further sketches by which members of a bucket that its centre doesn't match are told apart.
-FURTHER = 3
 
 
 def _hash_run(run: str) -> bytes:
     return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(run))
 
 
-_runs = Memo(_hash_run, 400_000)
+_runs = Memo(_hash_run, 100_000)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -155,18 +158,51 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(row[m - n + band]) if 0 <= m - n + band < width else band + 1
 
 
+def longest_increasing(x: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly increasing subsequence."""
+    if (x[1:] > x[:-1]).all():
+        return np.arange(len(x))
+    tails: list[int] = []
+    ends: list[int] = []
+    before = np.empty(len(x), dtype=np.int64)
+    for i, v in enumerate(x.tolist()):
+        k = bisect.bisect_left(tails, v)
+        before[i] = ends[k - 1] if k else -1
+        if k == len(tails):
+            tails.append(v)
+            ends.append(i)
+        else:
+            tails[k], ends[k] = v, i
+    out, i = np.empty(len(tails), dtype=np.int64), ends[-1]
+    for k in range(len(tails) - 1, -1, -1):
+        out[k], i = i, before[i]
+    return out
+
+
+def distance_bounds(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Bounds of the Levenshtein distance of two code sequences, by their labelled codes."""
+    la, lb = label_occurrences(a), label_occurrences(b)
+    by = np.argsort(lb, kind="stable")
+    ordered = lb[by]
+    at = np.minimum(np.searchsorted(ordered, la), len(ordered) - 1)
+    hit = ordered[at] == la
+    place_a, place_b = np.flatnonzero(hit), by[at[hit]]
+    least = max(len(a), len(b)) - len(place_a)
+    chain = longest_increasing(place_b)
+    gap_a, gap_b = (np.diff(np.concatenate([[-1], p[chain], [n]])) - 1 for p, n in ((place_a, len(a)), (place_b, len(b))))
+    return least, int(np.maximum(gap_a, gap_b).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the edit similarity of two k-mer sequences reaches the threshold."""
-    longest = max(len(a), len(b))
-    if not longest:
+    if not len(a) or not len(b):
         return False
+    longest = max(len(a), len(b))
     most = int(np.floor((1 - similarity) * longest + 1e-9))
-    if abs(len(a) - len(b)) > most:
-        return False
-    # codes that the other doesn't have must be edited: a bound that rejects nearly all that differ
-    if max(len(a) - np.isin(a, b).sum(), len(b) - np.isin(b, a).sum()) > most:
+    if longest - min(len(a), len(b)) > most:
         return False
-    return edit_distance(a, b, most) <= most
+    least, reached = distance_bounds(a, b)
+    return least <= most and (reached <= most or edit_distance(a, b, most) <= most)
 
 
 def sketch_rows(docs: DataFrame, sketches: int, picks: int, id_col: str, text_col: str) -> DataFrame:
@@ -231,44 +267,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (word_key, bucket) of the buckets with two texts or more, and the pairs (a, b) of each text with its buckets' centres."""
+    buckets = sketched.select("word_key", F.posexplode("sketch").alias("s", "h")).select("word_key", F.xxhash64("s", "h").alias("bucket"))
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = materialise(buckets.join(sizes, "bucket"), "met")
+    typical = met.groupBy("word_key").agg(F.sum(F.floor(F.log2("n") * 16)).alias("t"))
+    ranked = materialise(met.join(typical, "word_key").select("word_key", "bucket", "t"), "ranked")
+    centre = F.max(F.struct("t", F.xxhash64("word_key").alias("r"), "word_key"))
+    centres = materialise(ranked.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.word_key").alias("centre")), "centres")
+    pairs = ranked.join(centres, "bucket").where("word_key <> centre").select(F.col("centre").alias("a"), F.col("word_key").alias("b")).distinct()
+    return ranked.select("word_key", "bucket"), pairs
+
+
+def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, step: int, centres: int) -> DataFrame:
+    """(a, b) of texts of different classes that share two sketches ``step`` apart, b with drawn members of the bucket.
+
+    Only texts take part that share one of the first buckets with another class.
+    """
+    rooted = lambda rows: rows.join(root, rows["word_key"] == root["node"], "left").withColumn("root", F.coalesce("root", "word_key")).drop("node")
+    mixed = lambda rows, *more: rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
+    members = materialise(rooted(met), f"members-{step}")
+    apart = members.join(materialise(mixed(members), f"mixed-{step}"), "bucket", "left_semi").select("word_key", "root").distinct()
+    sketch = lambda i: F.element_at("sketch", i + 1)
+    width = F.size("sketch")
+    keys = F.transform(F.sequence(F.lit(0), width - 1), lambda s: F.xxhash64(s, sketch(s), sketch((s + step) % width)))
+    finer = materialise(apart.join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "root", F.explode(keys).alias("bucket")), f"finer-{step}")
+    drawn = [F.min(F.struct(F.xxhash64("bucket", "word_key", F.lit(i)).alias("r"), "word_key", "root")).alias(f"c{i}") for i in range(centres)]
+    chosen = mixed(finer, *drawn).select("bucket", F.array_distinct(F.array(*[F.struct(f"c{i}.word_key", f"c{i}.root") for i in range(centres)])).alias("chosen"))
+    met_again = finer.join(materialise(chosen, f"drawn-{step}"), "bucket").select("word_key", "root", F.explode("chosen").alias("c")).where("root <> c.root")
+    return met_again.select(F.greatest("word_key", "c.word_key").alias("a"), F.least("word_key", "c.word_key").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, is_kept) of each row: the class's least doc_id, and whether this row is the one that stays.
 
-    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them.
+    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. ``rounds`` counts the further ones.
     """
     rows = materialise(sketch_rows(docs, sketches, picks, id_col, text_col), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     # one row for each distinct sequence of words
     sketched = materialise(rows.where("word_key is not null").groupBy("word_key").agg(F.min(first).alias("least"), F.first("sketch").alias("sketch")), "distinct-sketches")
-    buckets = sketched.select("word_key", F.posexplode("sketch").alias("s", "h")).select("word_key", F.xxhash64("s", "h").alias("bucket"), "s")
-    centre = F.min(F.struct(F.xxhash64("word_key").alias("r"), F.col("word_key"))).alias("c")
-    texts = verified = tried = None
-    for step in range(rounds):
-        centres = buckets.groupBy("bucket").agg(centre, F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("cb"), F.col("c.word_key").alias("centre"))
-        met = materialise(buckets.join(centres, F.col("bucket") == F.col("cb")).drop("cb").where("word_key <> centre"), f"met-{step}")
-        pairs = met.select(F.col("centre").alias("a"), F.col("word_key").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        if texts is None:  # later rounds have the same texts or fewer
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-            texts = materialise(texts_of(docs, sketched, wanted, id_col, text_col), "texts")
+    met, pairs = first_candidates(sketched)
+    pairs = tried = materialise(pairs, "pairs-0")
+    texts = materialise(texts_of(docs, sketched, met.select(F.col("word_key").alias("w")).distinct(), id_col, text_col), "texts")
+    root = components(materialise(verify(pairs, texts, similarity), "found-0"))
+    for step in range(1, rounds + 1):
+        pairs = materialise(further_candidates(sketched, met, root, step, centres).join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
+        tried = tried.unionAll(pairs).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = materialise(verify(pairs, texts, similarity), f"found-{step}")
-        verified = found if verified is None else verified.unionAll(found)
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if step + 1 == rounds:
-            break
-        # members that no chain of links joins to their centre meet again where they share the bucket and a further sketch
-        root = materialise(components(verified), f"roots-{step}")
-        of = lambda c: root.select(F.col("node").alias(f"_n_{c}"), F.col("root").alias(f"_r_{c}"))
-        apart = met.join(of("w"), F.col("word_key") == F.col("_n_w"), "left").join(of("c"), F.col("centre") == F.col("_n_c"), "left").where(F.coalesce("_r_w", "word_key") != F.coalesce("_r_c", "centre"))
-        further = F.transform(F.sequence(F.lit(1), F.lit(FURTHER)), lambda i: F.struct(((F.col("s") + i) % sketches).cast("int").alias("s"), F.element_at("sketch", ((F.col("s") + i) % sketches + 1).cast("int")).alias("h")))
-        finer = apart.select("word_key", "bucket", "s").join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "bucket", F.explode(further).alias("x"))
-        buckets = materialise(finer.select("word_key", F.xxhash64("bucket", "x.s", "x.h").alias("bucket"), F.col("x.s").alias("s")), f"finer-{step}")
-        if buckets.isEmpty():
-            break
-    root = components(verified)
+        if not found.isEmpty():
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     # a class is named by its least id; texts without a link are their own root
     named = sketched.select("word_key", "least").join(root, F.col("word_key") == F.col("node"), "left").select("word_key", "least", F.coalesce("root", "word_key").alias("root"))
-    chosen = named.groupBy("root").agg(F.min("least").alias("chosen"))
+    named = materialise(named, "named")
+    chosen = materialise(named.groupBy("root").agg(F.min("least").alias("chosen")), "chosen")
     classes = named.join(chosen, "root").select(F.col("word_key").alias("wk"), "chosen")
     joined = rows.select("doc_id", "text_hash", "word_key").join(classes, F.col("word_key") == F.col("wk"), "left")
     is_kept = F.col("chosen").isNull() | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
