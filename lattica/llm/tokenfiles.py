@@ -6,8 +6,9 @@ bijection of 0..N-1 that needs no table. Slots are range-partitioned into shards
 shard is one file of fixed-stride records, so slot s lies at byte (s mod per_shard) * stride of shard s // per_shard:
 a trainer reads sequentially and resumes at any slot by arithmetic.
 
-A first pass counts ids for each partition (one number of a partition goes to the driver), a second one encodes again and
-deals out pieces; nothing but ids is shuffled. The order of the stream is the order of the input's partitions and rows.
+A first pass encodes each partition into blocks of ids, written to the shared folder with their place in the partition;
+one number of a partition goes to the driver. A second one cuts the blocks and deals out the pieces; nothing but ids is
+shuffled. The order of the stream is the order of the input's partitions and rows when it was encoded.
 Files are written under a temporary name and renamed, so a task that runs again leaves the same file.
 
 Defined cases: a null text counts as the empty text (its end id alone); null ids and extra columns have no influence;
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fs_of, work_path
+from .common import fs_of, materialise, work_path
 from .tokens import byte_tokenizer
 
 ROUNDS = 6
@@ -51,7 +52,7 @@ def feistel(values: np.ndarray, domain: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, text_col: str = "text") -> tuple[DataFrame, dict]:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, block_bytes: int = 4_000_000, text_col: str = "text") -> tuple[DataFrame, dict]:
     """Write the shards below ``path``; gives a table (shard, file, first_slot, n_slots) and the layout.
 
     The returned table has been materialised: the files exist when this returns.
@@ -60,53 +61,49 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
     path = path or work_path(spark, "token-files")
     source = docs.select(docs[text_col].cast("string").alias("value"))
     end = end_id.to_bytes(4, "little")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total = byte_tokenizer(vocabulary).count, 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += (size(text) if text else 0) + 1
-        if total:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "total": [total]})
-
-    counted = sorted((r.part, r.total) for r in source.mapInArrow(count, "part int, total long").collect())
-    bases, total = {}, 0
-    for part, n in counted:
-        bases[part] = total
-        total += n
-    n_sequences = -(-total // length)
     width = 2 if end_id < 65536 and vocabulary_size(vocabulary) <= 65536 else 4
     kind = f"<u{width}"
-    layout = {"path": path, "length": length, "width": width, "stride": width * length, "per_shard": per_shard, "sequences": n_sequences, "tokens": total, "key": key}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(vocabulary).encode
-        at = bases.get(TaskContext.get().partitionId(), 0)
-        pending, size = [], 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded, part = byte_tokenizer(vocabulary).encode, TaskContext.get().partitionId()
+        pending, size, at = [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal pending, size, at
-            stream = np.frombuffer(b"".join(pending), dtype="<u4").astype(kind).tobytes()
-            n = len(stream) // width
-            bounds = [at, *range((at // length + 1) * length, at + n, length), at + n]
-            starts = np.array(bounds[:-1], dtype=np.int64)
-            slots = feistel(starts // length, n_sequences, key)
-            ids = [stream[width * (a - at) : width * (b - at)] for a, b in zip(bounds, bounds[1:], strict=False)]
-            at += n
+            ids = np.frombuffer(b"".join(pending), dtype="<u4")
+            first, at = at, at + len(ids)
             pending, size = [], 0
-            return pa.RecordBatch.from_pydict({"shard": slots // per_shard, "slot": slots, "start": starts % length, "ids": pa.array(ids, pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [first], "n": [len(ids)], "ids": [ids.astype(kind).tobytes()]})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                pending.append((encode(text) if text else b"") + end)
+                pending.append((encoded(text) if text else b"") + end)
                 size += len(pending[-1])
-                if size > 8_000_000:
+                if size > block_bytes:
                     yield flush()
         if pending:
             yield flush()
 
+    blocks = materialise(source.mapInArrow(encode, "part int, at long, n long, ids binary"), "token-blocks")
+    bases, total = {}, 0
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        bases[r.part] = total
+        total += r.n
+    n_sequences = -(-total // length)
+    layout = {"path": path, "length": length, "width": width, "stride": width * length, "per_shard": per_shard, "sequences": n_sequences, "tokens": total, "key": key}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at, n, stream in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at += bases[part]
+                bounds = [at, *range((at // length + 1) * length, at + n, length), at + n]
+                starts = np.array(bounds[:-1], dtype=np.int64)
+                slots = feistel(starts // length, n_sequences, key)
+                ids = [stream[width * (a - at) : width * (b - at)] for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"shard": slots // per_shard, "slot": slots, "start": starts % length, "ids": pa.array(ids, pa.binary())})
+
     n_shards = max(1, -(-n_sequences // per_shard))
-    pieces = source.mapInArrow(deal, "shard long, slot long, start long, ids binary")
+    pieces = blocks.mapInArrow(deal, "shard long, slot long, start long, ids binary")
     dealt = pieces.repartition(n_shards, "shard").sortWithinPartitions("slot", "start")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
