@@ -36,7 +36,7 @@ def _terms_of(word: str) -> tuple[str, ...]:
     return (word, *("^" + word[:n] for n in range(3, 9) if len(word) > n))
 
 
-_terms = Memo(_terms_of)
+_terms = Memo(_terms_of, 100_000)
 
 
 def words_of(text: str) -> Counter:
@@ -48,8 +48,17 @@ class Vectors:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.of_word = Memo(lambda w: tuple(self.number[t] for t in _terms_of(w) if t in self.number))
-        self.of_run = Memo(lambda run: tuple(i for w in WORD.findall(run) for i in self.of_word[w]))
+        self.heads = {t[1:4] for t in terms if t[0] == "^"}
+        self.of_run = Memo(self._run, 200_000)
+
+    def _run(self, run: str) -> tuple[int, ...]:
+        words = (run,) if run.isalnum() else WORD.findall(run)
+        return tuple(i for w in words for i in self._word(w))
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        if word[:3] in self.heads:
+            return tuple(self.number[t] for t in _terms_of(word) if t in self.number)
+        return (self.number[word],) if word in self.number else ()
 
     def counts(self, text: str) -> dict[int, int]:
         found: dict[int, int] = {}
@@ -88,18 +97,19 @@ class Index:
         bound = w @ self.block_max[terms]
         blocks = self.block_max.shape[1]
         ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            dense = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                s, e = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                if e > s:
-                    dense[self.post_ids[s:e] - b * BLOCK] += x * self.post_weights[s:e]
-            own = np.flatnonzero(dense > 0)
-            new = own + b * BLOCK
-            own, new = own[new != leave_out], new[new != leave_out]
-            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, np.round(dense[own], 12)])
+        order, done, group = np.argsort(-bound, kind="stable"), 0, 4
+        order = order[bound[order] > 0]
+        while done < len(order) and bound[order[done]] >= least - 1e-12:
+            own = order[done : done + group]  # a few blocks at once; the first of them isn't ruled out
+            done, group = done + group, 2 * group
+            cells = (terms[:, None] * blocks + own).ravel()
+            first, length = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+            examples = self.post_ids[at]
+            dense = np.bincount(examples, np.repeat(np.repeat(w, len(own)), length) * self.post_weights[at], len(self.ids))
+            new = np.flatnonzero(dense > 0)
+            new = new[new != leave_out]
+            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, np.round(dense[new], 12)])
             if len(ids) > self.k:
                 by = np.lexsort((ids, -sims))[: self.k]
                 ids, sims = ids[by], sims[by]
@@ -108,9 +118,8 @@ class Index:
         by = np.lexsort((ids, -sims))
         return ids[by], sims[by]
 
-    def vote(self, counts: dict[int, int], leave_out: int = -1) -> float | None:
+    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float | None:
         """Share of toxic ones among the nearest, weighted by nearness; None without any."""
-        ids, sims = self.nearest(counts, leave_out)
         if not len(ids):
             return None
         w = 1 / (1.05 - np.minimum(sims, 1.0))
@@ -146,7 +155,7 @@ def build(terms: list[str], counts: list[dict[int, int]], ids: list[int], labels
         return index
     bare = [label for label, c in zip(labels, counts, strict=True) if not c]
     index.base = (sum(bare) + y.mean()) / (len(bare) + 1)
-    votes = [(index.vote(c, i), y[i]) for i, c in enumerate(counts) if c]
+    votes = [(index.vote(*index.nearest(c, i)), y[i]) for i, c in enumerate(counts) if c]
     votes = [(v, label) for v, label in votes if v is not None]
     if len({label for _, label in votes}) == 2:
         index.slope, index.offset = logistic(np.array([v for v, _ in votes]), np.array([label for _, label in votes]))
@@ -217,7 +226,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         def judge(items: tuple) -> tuple[float, list]:
             counts = dict(items)
             ids, sims = index.nearest(counts)
-            return index.calibrated(index.vote(counts)), [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:3], sims[:3], strict=True)]
+            return index.calibrated(index.vote(ids, sims)), [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:3], sims[:3], strict=True)]
 
         memo = Memo(judge, 20_000)
         none = (index.calibrated(None), [])
@@ -238,7 +247,7 @@ def reject(docs: DataFrame, index: Index, threshold: float = 0.5, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         of = Vectors(index.terms)
-        memo = Memo(lambda items: index.calibrated(index.vote(dict(items))), 20_000)
+        memo = Memo(lambda items: index.calibrated(index.vote(*index.nearest(dict(items)))), 20_000)
         none = index.calibrated(None)
         for batch in batches:
             counts = (of.counts(t or "") for t in batch.column(at).to_pylist())
