@@ -45,6 +45,8 @@ class Planner:
         if isinstance(tree, A.Recursive):
             return self._recursive(tree, start)
         state, final = self.clauses(tree, start)
+        if not final and len(tree.clauses) == 1 and isinstance(tree.clauses[0], A.Call):
+            return self.output(state)  # a CALL alone returns what it yields
         if not final:
             return state.df.select(*self.carry) if state.df is not None else self.unit()
         return self.output(state)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,14 @@ class Session:
         self.triggers: list = []
         self.warnings: list[str] = []
         self.snapshots: dict[str, Graph] = {}
+        self.snapshot_times: dict[str, float] = {}
+        self.declarations: dict[str, str] = {}
         self.variables: dict = {}
         self.rules: dict = {}
         self.jobs: list = []
 
     def context(self, params: dict | None = None) -> Context:
+        from .operators import admin  # noqa: F401 - registers its procedures
         from .operators.procedures import PROCEDURES
 
         known = {**{f"session.{k}": v for k, v in self.variables.items()}, **(params or {})}
@@ -67,16 +72,18 @@ class Session:
         began = time.time()
         saved = self.graph
         if version is not None:
-            self.graph = self.at_version(version)
+            kind, name = version
+            self.graph = self.at_version(name) if kind == "version" or name in self.snapshots else self.at_time(name)
         try:
             if isinstance(tree, A.Command):
                 return run_command(self, tree, params)
             before = {**self.graph.nodes}, {**self.graph.edges}
-            work = self.graph.copy() if is_write(tree) else self.graph
+            writes = is_write(tree)
+            work = self.graph.copy() if writes else self.graph
             ctx = self.context(params)
             ctx.graph = work
             df = Planner(ctx).run(tree)
-            if work is not self.graph:
+            if writes:
                 self.commit(work, before)
             return df
         finally:
@@ -102,10 +109,13 @@ class Session:
 
     def read_only(self, text: str, **params) -> DataFrame:
         """A query that must not write."""
+        self.check_read_only(text)
+        return self.query(text, **params)
+
+    def check_read_only(self, text: str) -> None:
         tree = self.parse(text)
-        if is_write(tree) or isinstance(tree, A.Command) and tree.kind not in ("explain", "profile", "show"):
+        if is_write(tree) or isinstance(tree, A.Command) and tree.kind not in ("explain", "profile", "show") or calls_writer(tree):
             raise CompileError("the statement writes")
-        return self.query(text, **params)
 
     def prepare(self, text: str) -> Callable[..., DataFrame]:
         """A statement parsed once, to be run with different parameters."""
@@ -119,13 +129,22 @@ class Session:
         return run_program(self, text, params)
 
     def snapshot(self, name: str) -> None:
-        self.snapshots[name] = self.graph.copy()
+        self.snapshots[name], self.snapshot_times[name] = self.graph.copy(), time.time()
 
     def at_version(self, name: str) -> Graph:
         if name not in self.snapshots:
             raise CompileError(f"no snapshot {name}")
         return self.snapshots[name]
 
+    def at_time(self, text: str) -> Graph:
+        """The last snapshot taken at that time or before."""
+        when = datetime.fromisoformat(text)
+        moment = (when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp()
+        before = [n for n, t in self.snapshot_times.items() if t <= moment]
+        if not before:
+            raise CompileError(f"no snapshot at {text}")
+        return self.snapshots[max(before, key=self.snapshot_times.__getitem__)]
+
     def fork(self) -> Session:
         """A branch: it shares tables until either side writes."""
         out = Session(self.graph.copy(), self.settings)
@@ -201,6 +220,16 @@ def _vectorised(function: Callable, returns: str):
 WRITES = (A.Create, A.Merge, A.SetItems, A.Remove, A.Delete, A.Foreach)
 
 
+#: Procedures that change the session; a read-only statement must not call them.
+WRITERS = re.compile(r"uni\.(admin\.(snapshot\.(create|restore|delete)|compact$|verifyEdgeEndpoints)|schema\.(create|drop)|plugin\.(declare|dropDeclared|runJob)|periodic\.(?!list)|system\.ttl_sweep|graph\.(project|drop))", re.IGNORECASE)
+
+
+def calls_writer(tree) -> bool:
+    if isinstance(tree, A.Union):
+        return any(map(calls_writer, tree.parts))
+    return isinstance(tree, A.Query) and any(isinstance(c, A.Call) and bool(WRITERS.match(c.name)) or isinstance(c, A.SubCall) and calls_writer(c.query) for c in tree.clauses)
+
+
 def is_write(tree) -> bool:
     if isinstance(tree, A.Union):
         return any(map(is_write, tree.parts))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ def spark_type(name: str) -> str:
     return TYPES[low]
 
 
-def split_version(text: str) -> tuple[str, str | None]:
-    """The statement without a trailing VERSION AS OF 'name', and the name."""
-    m = re.search(r"\s+(?:VERSION|TIMESTAMP)\s+AS\s+OF\s+'([^']*)'\s*;?\s*$", text, re.IGNORECASE)
-    return (text[: m.start()], m[1]) if m else (text, None)
+def split_version(text: str) -> tuple[str, tuple[str, str] | None]:
+    """The statement without its VERSION (or TIMESTAMP) AS OF 'name', and what that says."""
+    m = re.search(r"\s(VERSION|TIMESTAMP)\s+AS\s+OF\s+'([^']*)'", text, re.IGNORECASE)
+    return (text[: m.start()] + " " + text[m.end() :], (m[1].lower(), m[2])) if m else (text, None)
 
 
 def done(session, what: str) -> DataFrame:
@@ -66,9 +67,11 @@ def run_command(session, tree, params: dict) -> DataFrame:
         return done(session, kind)
     if kind == "show":
         what = {"labels": "uni.schema.labels", "indexes": "uni.schema.indexes", "constraints": "uni.schema.constraints", "edge": "uni.schema.edgeTypes", "edges": "uni.schema.edgeTypes", "types": "uni.schema.edgeTypes", "procedures": None, "functions": None}
+        ctx = session.context()
+        if a["what"] in ("database", "config", "statistics", "snapshots"):
+            return show(session, ctx, a["what"])
         if a["what"] not in what:
             raise CompileError(f"SHOW {a['what']} is unknown")
-        ctx = session.context()
         if a["what"] == "procedures":
             return spark.createDataFrame([(p,) for p in sorted(ctx.procedures)], "name string")
         if a["what"] == "functions":
@@ -82,6 +85,19 @@ def run_command(session, tree, params: dict) -> DataFrame:
     return done(session, kind)
 
 
+def show(session, ctx, what: str) -> DataFrame:
+    g, spark = session.graph, session.graph.spark
+    if what == "snapshots":
+        return ctx.procedures["uni.admin.snapshot.list"](ctx, [])
+    if what == "database":
+        return spark.createDataFrame([(len(g.nodes), len(g.edges), len(g.indexes), len(g.constraints), len(session.snapshots))], "labels int, edge_types int, indexes int, constraints int, snapshots int")
+    if what == "config":
+        return spark.createDataFrame([(k, str(v)) for k, v in sorted(vars(session.settings).items())], "name string, value string")
+    tables = [("label", n, d) for n, d in sorted(g.nodes.items())] + [("edge type", n, e.df) for n, e in sorted(g.edges.items())]
+    counts = [d.agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), F.lit(n).alias("name"), "rows") for kind, n, d in tables]
+    return reduce(DataFrame.unionAll, counts) if counts else spark.createDataFrame([], "kind string, name string, rows long")
+
+
 def _fields(props: dict) -> str:
     return "".join(f", `{k}` {spark_type(t)}" for k, (t, _) in props.items())
 
@@ -95,6 +111,7 @@ def label_ddl(g, verb: str, a: dict) -> None:
             raise CompileError(f"{name} exists")
         g.nodes[name] = g.spark.createDataFrame([], f"{VID} bigint{_fields(a['props'])}")
         g.constraints += [{"name": f"{name}_{k}", "label": name, "kind": "exists", "props": [k]} for k, (_, needed) in a["props"].items() if needed]
+        g.constraints += [{"name": f"{name}_{k}_unique", "label": name, "kind": "unique", "props": [k]} for k in a.get("unique", [])]
         return
     if name not in g.nodes:
         if a["exists"]:
