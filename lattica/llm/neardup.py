@@ -8,9 +8,9 @@ alignment; ``similarity`` (0.8) or more links two texts. Classes are the connect
 
 Copies are one text from the start, so a group of copies is a count. A bucket (one value of one sketch) is not expanded into
 pairs: its members are compared with one of them, the most typical, which is the one whose buckets are the largest: in a group
-of edited copies that is the text they were made from. Buckets whose members are of several classes after that are met again in
-further rounds, in finer buckets of two sketches, where members are compared with ``centres`` of other classes, drawn by a hash
-that differs from bucket to bucket. The work of a round is proportional to the rows of its buckets. What may be lost is a link
+of edited copies that is the text they were made from. Members of buckets that hold several classes after that meet again in
+finer buckets of two sketches (those 1 to ``rounds`` apart), where they are compared with ``centres`` of other classes, drawn
+by a hash that differs from bucket to bucket. All work is proportional to the rows of the buckets. What may be lost is a link
 whose two texts meet in no sketch, or are never drawn and joined by no other chain of links.
 
 Most candidates are decided by bounds of the distance: k-mers that the other text lacks must be edited, and the longest
@@ -280,42 +280,41 @@ def first_candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.select("word_key", "bucket"), pairs
 
 
-def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, step: int, centres: int) -> DataFrame:
-    """(a, b) of texts of different classes that share two sketches ``step`` apart, b with drawn members of the bucket.
+def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, rounds: int, centres: int) -> DataFrame:
+    """(a, b) of texts of different classes that share two sketches, 1 to ``rounds`` apart, one of them drawn by the bucket.
 
     Only texts take part that share one of the first buckets with another class.
     """
-    rooted = lambda rows: rows.join(root, rows["word_key"] == root["node"], "left").withColumn("root", F.coalesce("root", "word_key")).drop("node")
     mixed = lambda rows, *more: rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
-    members = materialise(rooted(met), f"members-{step}")
-    apart = members.join(materialise(mixed(members), f"mixed-{step}"), "bucket", "left_semi").select("word_key", "root").distinct()
+    members = materialise(met.join(root, met["word_key"] == root["node"], "left").withColumn("root", F.coalesce("root", "word_key")).drop("node"), "members")
+    apart = members.join(materialise(mixed(members), "mixed"), "bucket", "left_semi").select("word_key", "root").distinct()
     sketch = lambda i: F.element_at("sketch", i + 1)
     width = F.size("sketch")
-    keys = F.transform(F.sequence(F.lit(0), width - 1), lambda s: F.xxhash64(s, sketch(s), sketch((s + step) % width)))
-    finer = materialise(apart.join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "root", F.explode(keys).alias("bucket")), f"finer-{step}")
+    keys = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda step: F.transform(F.sequence(F.lit(0), width - 1), lambda s: F.xxhash64(step, s, sketch(s), sketch((s + step) % width)))))
+    finer = materialise(apart.join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "root", F.explode(keys).alias("bucket")), "finer")
     drawn = [F.min(F.struct(F.xxhash64("bucket", "word_key", F.lit(i)).alias("r"), "word_key", "root")).alias(f"c{i}") for i in range(centres)]
     chosen = mixed(finer, *drawn).select("bucket", F.array_distinct(F.array(*[F.struct(f"c{i}.word_key", f"c{i}.root") for i in range(centres)])).alias("chosen"))
-    met_again = finer.join(materialise(chosen, f"drawn-{step}"), "bucket").select("word_key", "root", F.explode("chosen").alias("c")).where("root <> c.root")
+    met_again = finer.join(materialise(chosen, "drawn"), "bucket").select("word_key", "root", F.explode("chosen").alias("c")).where("root <> c.root")
     return met_again.select(F.greatest("word_key", "c.word_key").alias("a"), F.least("word_key", "c.word_key").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, is_kept) of each row: the class's least doc_id, and whether this row is the one that stays.
 
-    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. ``rounds`` counts the further ones.
+    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. No ``rounds``: no finer buckets.
     """
     rows = materialise(sketch_rows(docs, sketches, picks, id_col, text_col), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     # one row for each distinct sequence of words
     sketched = materialise(rows.where("word_key is not null").groupBy("word_key").agg(F.min(first).alias("least"), F.first("sketch").alias("sketch")), "distinct-sketches")
     met, pairs = first_candidates(sketched)
-    pairs = tried = materialise(pairs, "pairs-0")
+    pairs = materialise(pairs, "pairs")
     texts = materialise(texts_of(docs, sketched, met.select(F.col("word_key").alias("w")).distinct(), id_col, text_col), "texts")
-    root = components(materialise(verify(pairs, texts, similarity), "found-0"))
-    for step in range(1, rounds + 1):
-        pairs = materialise(further_candidates(sketched, met, root, step, centres).join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        tried = tried.unionAll(pairs).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        found = materialise(verify(pairs, texts, similarity), f"found-{step}")
+    root = components(materialise(verify(pairs, texts, similarity), "found"))
+    if rounds:
+        tried = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        further = materialise(further_candidates(sketched, met, root, rounds, centres).join(tried, ["a", "b"], "left_anti"), "further-pairs")
+        found = materialise(verify(further, texts, similarity), "further-found")
         if not found.isEmpty():
             root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     # a class is named by its least id; texts without a link are their own root
