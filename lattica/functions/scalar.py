@@ -265,6 +265,17 @@ def sparse_dot(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
+simple("l2_norm", lambda a: F.sqrt(F.aggregate(a["values"], F.lit(0.0), lambda s, x: s + x.cast("double") * x)), low=1)
+
+
+@register("prune_top_k")
+def _prune_top_k(args, types):
+    """The k entries of largest weight of a sparse vector, by index; ties go to the smaller index."""
+    pairs = F.zip_with(args[0]["indices"], args[0]["values"], lambda i, v: F.struct((-F.abs(v)).alias("w"), i.alias("i"), v.alias("v")))
+    kept = F.array_sort(F.transform(F.slice(F.array_sort(pairs), F.lit(1), args[1].cast("int")), lambda x: F.struct(x["i"], x["v"])))
+    return F.struct(F.transform(kept, lambda x: x["i"]).alias("indices"), F.transform(kept, lambda x: x["v"]).alias("values"))
+
+
 # --- validity of periods, half-open
 @register("uni.temporal.validat")
 def _valid_at(args, types):

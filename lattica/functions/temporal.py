@@ -63,12 +63,20 @@ def localdatetime(args, types):
     return _stamp(args, types, "timestamp_ntz")
 
 
-def time(args, types):
+def localtime(args, types):
     """Time of day as text HH:mm:ss[.ffffff]."""
     c = F.current_timestamp().cast("timestamp_ntz") if not args else F.concat(F.lit("1970-01-01T"), args[0]).cast("timestamp_ntz") if isinstance(types[0], T.StringType) else _from_map(args[0], types[0], True) if isinstance(types[0], T.StructType) else args[0].cast("timestamp_ntz")
     return F.regexp_replace(F.date_format(c, "HH:mm:ss.SSSSSS"), r"\.?0{1,6}$", "")
 
 
+def time(args, types):
+    """The same with the zone that a text gives, Z or +hh:mm."""
+    if not args or not isinstance(types[0], T.StringType):
+        return localtime(args, types)
+    zone = F.regexp_extract(args[0], r"(Z|[+-]\d\d(?::?\d\d)?)$", 1)
+    return F.concat(localtime([F.regexp_replace(args[0], r"(Z|[+-]\d\d(?::?\d\d)?)$", "")], types), zone)
+
+
 def of_duration(args, types):
     c, t = args[0], types[0]
     if is_duration(t):
@@ -150,7 +158,7 @@ def accessor(c, t: T.DataType, key: str):
 
 
 def register_all(table: dict) -> None:
-    table |= {"date": date, "datetime": datetime, "localdatetime": localdatetime, "time": time, "localtime": time, "duration": of_duration, "duration.between": between, "duration.inmonths": in_months, "duration.indays": in_days, "duration.inseconds": in_seconds, "date.truncate": truncate, "datetime.truncate": truncate, "localdatetime.truncate": truncate}
+    table |= {"date": date, "datetime": datetime, "localdatetime": localdatetime, "time": time, "localtime": localtime, "duration": of_duration, "duration.between": between, "duration.inmonths": in_months, "duration.indays": in_days, "duration.inseconds": in_seconds, "date.truncate": truncate, "datetime.truncate": truncate, "localdatetime.truncate": truncate}
     for clock in ("transaction", "statement", "realtime"):
         table |= {f"datetime.{clock}": lambda a, t: F.current_timestamp(), f"date.{clock}": lambda a, t: F.current_date()}
     table["datetime.fromepoch"] = lambda a, t: F.timestamp_micros(a[0].cast("long") * 1_000_000 + (F.call_function("div", a[1].cast("long"), F.lit(1000)) if len(a) > 1 else 0))
