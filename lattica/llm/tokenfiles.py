@@ -52,7 +52,7 @@ def feistel(values: np.ndarray, domain: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, block_bytes: int = 4_000_000, text_col: str = "text") -> tuple[DataFrame, dict]:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, block_bytes: int = 256_000, text_col: str = "text") -> tuple[DataFrame, dict]:
     """Write the shards below ``path``; gives a table (shard, file, first_slot, n_slots) and the layout.
 
     The returned table has been materialised: the files exist when this returns.
@@ -94,7 +94,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, at, n, stream in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(batch.num_rows):  # a block at a time: they are large
+                part, at, n, stream = (batch.column(c)[i].as_py() for c in range(4))
                 at += bases[part]
                 bounds = [at, *range((at // length + 1) * length, at + n, length), at + n]
                 starts = np.array(bounds[:-1], dtype=np.int64)

@@ -36,8 +36,8 @@ class ByteTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [(t.content, i.to_bytes(4, "little")) for i, t in self.library.get_added_tokens_decoder().items()]
-        self.memo = Memo(self._merge_function(path))
-        self.chunks = Memo(self._run, 300_000)
+        self.memo = Memo(self._merge_function(path), 100_000)
+        self.chunks = Memo(self._run, 200_000)
 
     def _merge_function(self, path: str):
         """Encoder of one pre-token: tiktoken's merges where the file's ids are its merge ranks, else the library."""
