@@ -112,16 +112,16 @@ cypher("window_over_groups", "MATCH (c:Customer) RETURN c.c_mktsegment AS s, cou
 AP = "['Nation'], ['TRADES']"
 
 
-def iterated(rounds: int, start: str, step: str) -> str:
+def iterated(rounds: int, start: str, step: str, digits: int = 8) -> str:
     """SQL of a fixed number of power-iteration rounds."""
     parts = [f"WITH {TRADES}", f"it0 AS MATERIALIZED (SELECT id, {start} AS x FROM v)"]
     for i in range(1, rounds + 1):
         parts.append(f"it{i} AS MATERIALIZED ({step.format(prev=f'it{i - 1}')})")
-    return ", ".join(parts) + f" SELECT id AS nodeId, round(x, 8) AS score FROM it{rounds}"
+    return ", ".join(parts) + f" SELECT id AS nodeId, round(x, {digits}) AS score FROM it{rounds}"
 
 
 trade("algo_degree", f"CALL uni.algo.degreeCentrality({AP}, 'BOTH') YIELD nodeId, score RETURN nodeId, score", f"WITH {TRADES} SELECT id AS nodeId, (SELECT count(*) FROM e WHERE s = id OR d = id)::DOUBLE AS score FROM v")
-trade("algo_pagerank", f"CALL uni.algo.pageRank({AP}, 0.85, 5) YIELD nodeId, score RETURN nodeId, round(score, 8) AS score", iterated(5, "1.0 / 25", "SELECT id, 0.15 / 25 + 0.85 * (SELECT coalesce(sum(p.x), 0) FROM {prev} p WHERE p.id NOT IN (SELECT s FROM e)) / 25 + 0.85 * coalesce((SELECT sum(p.x / (SELECT count(*) FROM e o WHERE o.s = p.id)) FROM {prev} p JOIN e ON e.s = p.id WHERE e.d = v.id), 0) AS x FROM v"))
+trade("algo_pagerank", f"CALL uni.algo.pageRank({AP}, 0.85, 5) YIELD nodeId, score RETURN nodeId, round(score, 7) AS score", iterated(5, "1.0 / 25", "SELECT id, 0.15 / 25 + 0.85 * (SELECT coalesce(sum(p.x), 0) FROM {prev} p WHERE p.id NOT IN (SELECT s FROM e)) / 25 + 0.85 * coalesce((SELECT sum(p.x / (SELECT count(*) FROM e o WHERE o.s = p.id)) FROM {prev} p JOIN e ON e.s = p.id WHERE e.d = v.id), 0) AS x FROM v", 7))
 trade("algo_katz", f"CALL uni.algo.katzCentrality({AP}, 0.1, 1.0, 5) YIELD nodeId, score RETURN nodeId, round(score, 8) AS score", iterated(5, "1.0::DOUBLE", "SELECT id, 1.0::DOUBLE + 0.1::DOUBLE * coalesce((SELECT sum(p.x) FROM {prev} p JOIN e ON e.s = p.id WHERE e.d = v.id), 0) AS x FROM v"))
 trade("algo_eigenvector", f"CALL uni.algo.eigenvectorCentrality({AP}, 5) YIELD nodeId, score RETURN nodeId, round(score, 8) AS score", iterated(5, "0.2", "SELECT id, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT id, coalesce((SELECT sum(p.x) FROM {prev} p JOIN e ON e.s = p.id WHERE e.d = v.id), 0) AS y FROM v)"))
 trade("algo_wcc", f"CALL uni.algo.wcc({AP}) YIELD nodeId, componentId RETURN nodeId, componentId", f"WITH RECURSIVE {TRADES}, u AS (SELECT s, d FROM e UNION SELECT d, s FROM e), r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, u.d FROM r JOIN u ON r.b = u.s) SELECT a AS nodeId, min(b) AS componentId FROM r GROUP BY 1")
