@@ -76,16 +76,24 @@ def chunks(texts: list, limit: int = 4_000_000):
 
 
 class Memo(dict):
-    """A dict that fills itself by a function and is emptied beyond ``limit`` entries."""
+    """A dict that fills itself by a function, of at most ``limit`` entries.
+
+    It has two halves: when the young one is full it becomes the old one, and what is met again moves back, so the entries
+    that are forgotten are those that weren't met for a while.
+    """
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
