@@ -6,9 +6,10 @@ bijection of 0..N-1 that needs no table. Slots are range-partitioned into shards
 shard is one file of fixed-stride records, so slot s lies at byte (s mod per_shard) * stride of shard s // per_shard:
 a trainer reads sequentially and resumes at any slot by arithmetic.
 
-A first pass encodes each partition into blocks of ids, written to the shared folder with their place in the partition;
-one number of a partition goes to the driver. A second one cuts the blocks and deals out the pieces; nothing but ids is
-shuffled. The order of the stream is the order of the input's partitions and rows when it was encoded.
+A first pass encodes each partition into compressed blocks of ids, written to the shared folder with their place in the
+partition; one number of a partition goes to the driver. A second one cuts the blocks and deals the pieces to the task of
+their shard, one row for each block and shard; nothing but ids is shuffled, and nothing is sorted: a task sets the pieces
+into one buffer of a shard's size. The order of the stream is the order of the input's partitions and rows when it was encoded.
 Files are written under a temporary name and renamed, so a task that runs again leaves the same file.
 
 Defined cases: a null text counts as the empty text (its end id alone); null ids and extra columns have no influence;
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def feistel(values: np.ndarray, domain: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, block_bytes: int = 256_000, text_col: str = "text") -> tuple[DataFrame, dict]:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, length: int = 1024, key: str = "training", end_id: int = 50256, per_shard: int = 16384, block_bytes: int = 2_000_000, text_col: str = "text") -> tuple[DataFrame, dict]:
     """Write the shards below ``path``; gives a table (shard, file, first_slot, n_slots) and the layout.
 
     The returned table has been materialised: the files exist when this returns.
@@ -73,7 +75,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
             ids = np.frombuffer(b"".join(pending), dtype="<u4")
             first, at = at, at + len(ids)
             pending, size = [], 0
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [first], "n": [len(ids)], "ids": [ids.astype(kind).tobytes()]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [first], "n": [len(ids)], "ids": [zstandard.compress(ids.astype(kind).tobytes(), 3)]})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -97,43 +99,40 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
             for i in range(batch.num_rows):  # a block at a time: they are large
                 part, at, n, stream = (batch.column(c)[i].as_py() for c in range(4))
                 at += bases[part]
-                bounds = [at, *range((at // length + 1) * length, at + n, length), at + n]
-                starts = np.array(bounds[:-1], dtype=np.int64)
-                slots = feistel(starts // length, n_sequences, key)
-                ids = [stream[width * (a - at) : width * (b - at)] for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"shard": slots // per_shard, "slot": slots, "start": starts % length, "ids": pa.array(ids, pa.binary())})
+                data = np.frombuffer(zstandard.decompress(stream), dtype=kind)
+                bounds = np.array([at, *range((at // length + 1) * length, at + n, length), at + n], dtype=np.int64)
+                slots = feistel(bounds[:-1] // length, n_sequences, key)
+                shards, out = slots // per_shard, []
+                for shard in np.unique(shards).tolist():
+                    own = np.flatnonzero(shards == shard)
+                    ids = np.concatenate([data[bounds[k] - at : bounds[k + 1] - at] for k in own])
+                    places = (slots[own] - shard * per_shard) * length + bounds[own] % length
+                    out.append((shard, places.tobytes(), (bounds[own + 1] - bounds[own]).tobytes(), zstandard.compress(ids.tobytes(), 3)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "places", "lengths", "ids"])
 
     n_shards = max(1, -(-n_sequences // per_shard))
-    pieces = blocks.mapInArrow(deal, "shard long, slot long, start long, ids binary")
-    dealt = pieces.repartition(n_shards, "shard").sortWithinPartitions("slot", "start")
+    pieces = blocks.mapInArrow(deal, "shard long, places binary, lengths binary, ids binary")
+    dealt = pieces.repartitionById(n_shards, F.col("shard").cast("int"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers: dict[int, np.ndarray] = {}  # a partition is one shard
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, places, lengths, ids = (batch.column(c)[i].as_py() for c in range(4))
+                if shard not in buffers:
+                    buffers[shard] = np.zeros(min(per_shard, n_sequences - shard * per_shard) * length, dtype=kind)
+                data, at = np.frombuffer(zstandard.decompress(ids), dtype=kind), 0
+                for place, n in zip(np.frombuffer(places, dtype=np.int64).tolist(), np.frombuffer(lengths, dtype=np.int64).tolist(), strict=True):
+                    buffers[shard][place : place + n] = data[at : at + n]
+                    at += n
         fs, base = fs_of(path)
         fs.create_dir(base, recursive=True)
-        out, shard, done, slot, filled = None, None, [], None, 0
-        temporary = ""
-
-        def close():
-            if out is not None:
-                out.write(bytes(layout["stride"] - filled))
-                out.close()
-                fs.move(temporary, f"{base}/shard-{shard:08d}.bin")
-                done.append((shard, f"{path}/shard-{shard:08d}.bin", shard * per_shard, slot - shard * per_shard + 1))
-
-        for batch in batches:
-            for s, new, start, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if s != shard:
-                    close()
-                    temporary = f"{base}/_{uuid.uuid4().hex}"
-                    out, shard, slot, filled = fs.open_output_stream(temporary), s, new, 0
-                elif new != slot:
-                    out.write(bytes(layout["stride"] - filled))
-                    slot, filled = new, 0
-                out.write(ids)
-                filled += len(ids)
-        close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["shard", "file", "first_slot", "n_slots"])
+        for shard, buffer in buffers.items():
+            temporary = f"{base}/_{uuid.uuid4().hex}"
+            with fs.open_output_stream(temporary) as out:
+                out.write(memoryview(buffer).cast("B"))
+            fs.move(temporary, f"{base}/shard-{shard:08d}.bin")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{path}/shard-{shard:08d}.bin"], "first_slot": [shard * per_shard], "n_slots": [len(buffer) // length]})
 
     rows = dealt.mapInArrow(write, "shard long, file string, first_slot long, n_slots long").collect() if n_sequences else []  # one row a file
     return spark.createDataFrame([tuple(r) for r in rows], "shard long, file string, first_slot long, n_slots long"), layout
