@@ -294,8 +294,8 @@ def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, rou
     finer = materialise(apart.join(sketched.select("word_key", "sketch"), "word_key").select("word_key", "root", F.explode(keys).alias("bucket")), "finer")
     drawn = [F.min(F.struct(F.xxhash64("bucket", "word_key", F.lit(i)).alias("r"), "word_key", "root")).alias(f"c{i}") for i in range(centres)]
     chosen = mixed(finer, *drawn).select("bucket", F.array_distinct(F.array(*[F.struct(f"c{i}.word_key", f"c{i}.root") for i in range(centres)])).alias("chosen"))
-    met_again = finer.join(materialise(chosen, "drawn"), "bucket").select("word_key", "root", F.explode("chosen").alias("c")).where("root <> c.root")
-    return met_again.select(F.greatest("word_key", "c.word_key").alias("a"), F.least("word_key", "c.word_key").alias("b")).distinct()
+    met_again = finer.join(materialise(chosen, "drawn"), "bucket").select("word_key", F.filter("chosen", lambda c: c["root"] != F.col("root")).alias("others")).where(F.size("others") > 0)
+    return met_again.select("word_key", F.explode("others").alias("c")).select(F.greatest("word_key", "c.word_key").alias("a"), F.least("word_key", "c.word_key").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
