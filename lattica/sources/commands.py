@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -50,10 +51,12 @@ def run_command(session, tree, params: dict) -> DataFrame:
         from ..cypher.plan import Planner
 
         df = Planner(session.context(params)).run(a["query"])
-        if kind == "profile":
-            df = spark.createDataFrame(df.collect(), df.schema)
+        began = time.perf_counter()
+        if kind == "profile":  # all rows are computed, none comes to the driver
+            df.write.format("noop").mode("overwrite").save()
+        spent = (time.perf_counter() - began) * 1000
         plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        return spark.createDataFrame([(plan,)], "plan string")
+        return spark.createDataFrame([(plan, spent)], "plan string, total_time_ms double") if kind == "profile" else spark.createDataFrame([(plan,)], "plan string")
     g = session.graph.copy()
     if kind == "copy":
         return copy(session, g, a)
