@@ -67,7 +67,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
     kind = f"<u{width}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, part = byte_tokenizer(vocabulary).encode, TaskContext.get().partitionId()
+        encoded, part = byte_tokenizer(vocabulary, 600_000).encode, TaskContext.get().partitionId()
         pending, size, at = [], 0, 0
 
         def flush() -> pa.RecordBatch:

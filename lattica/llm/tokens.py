@@ -28,7 +28,7 @@ def vocabulary_path(name: str) -> str:
 class ByteTokenizer:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,7 +37,7 @@ class ByteTokenizer:
         self.library.no_padding()
         self.special = [(t.content, i.to_bytes(4, "little")) for i, t in self.library.get_added_tokens_decoder().items()]
         self.memo = Memo(self._merge_function(path), 100_000)
-        self.chunks = Memo(self._run, 300_000)
+        self.chunks = Memo(self._run, runs)
 
     def _merge_function(self, path: str):
         """Encoder of one pre-token: tiktoken's merges where the file's ids are its merge ranks, else the library."""
@@ -89,6 +89,6 @@ class ByteTokenizer:
 
 
 @functools.cache
-def byte_tokenizer(path: str) -> ByteTokenizer:
-    """One tokenizer for each worker process."""
-    return ByteTokenizer(path)
+def byte_tokenizer(path: str, runs: int = 300_000) -> ByteTokenizer:
+    """One tokenizer for each worker process, which remembers at most ``runs`` runs between blanks."""
+    return ByteTokenizer(path, runs)
