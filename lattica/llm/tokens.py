@@ -28,7 +28,7 @@ def vocabulary_path(name: str) -> str:
 class ByteTokenizer:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, runs: int = 300_000):
+    def __init__(self, path: str, runs: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,6 +89,6 @@ class ByteTokenizer:
 
 
 @functools.cache
-def byte_tokenizer(path: str, runs: int = 300_000) -> ByteTokenizer:
+def byte_tokenizer(path: str, runs: int = 600_000) -> ByteTokenizer:
     """One tokenizer for each worker process, which remembers at most ``runs`` runs between blanks."""
     return ByteTokenizer(path, runs)
