@@ -10,8 +10,11 @@ Copies are one text from the start, so a group of copies is a count. A bucket (o
 pairs: its members are compared with one of them, the most typical, which is the one whose buckets are the largest: in a group
 of edited copies that is the text they were made from. Members of buckets that hold several classes after that meet again in
 finer buckets of two sketches (those 1 to ``rounds`` apart), where they are compared with ``centres`` of other classes, drawn
-by a hash that differs from bucket to bucket. All work is proportional to the rows of the buckets. What may be lost is a link
-whose two texts meet in no sketch, or are never drawn and joined by no other chain of links.
+by a hash that differs from bucket to bucket. Whatever buckets hold several classes after that is compared exactly: a link
+needs max(n, m) - d common labelled k-mers, so two linked texts share one among the rarest n - least + 1 of each, least being what a text
+of n k-mers must have in common. Texts that share such a k-mer and are of different classes are all compared, in blocks where
+they are many. Rarity is an estimate from a sample; it orders k-mers alike for all texts and decides cost only. What
+may be lost is a link of a text that meets no text of another class in any sketch.
 
 Most candidates are decided by bounds of the distance: k-mers that the other text lacks must be edited, and the longest
 chain of k-mers in common order leaves gaps that an alignment can always edit. The banded alignment decides the rest.
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Memo, materialise, output_name
 
 K = 5
+#: Bits of the cells in which k-mers are counted.
+CELLS = 20
 
 
 def _hash_run(run: str) -> bytes:
@@ -280,14 +285,23 @@ def first_candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.select("word_key", "bucket"), pairs
 
 
+def mixed(rows: DataFrame, *more) -> DataFrame:
+    """The buckets of rows (bucket, root) that hold several classes."""
+    return rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
+
+
+def texts_apart(met: DataFrame, root: DataFrame) -> DataFrame:
+    """(word_key, root) of the texts that share one of the first buckets with another class."""
+    members = materialise(met.join(root, met["word_key"] == root["node"], "left").withColumn("root", F.coalesce("root", "word_key")).drop("node"), "members")
+    return members.join(materialise(mixed(members), "mixed"), "bucket", "left_semi").select("word_key", "root").distinct()
+
+
 def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, rounds: int, centres: int) -> DataFrame:
     """(a, b) of texts of different classes that share two sketches, 1 to ``rounds`` apart, one of them drawn by the bucket.
 
     Only texts take part that share one of the first buckets with another class.
     """
-    mixed = lambda rows, *more: rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
-    members = materialise(met.join(root, met["word_key"] == root["node"], "left").withColumn("root", F.coalesce("root", "word_key")).drop("node"), "members")
-    apart = members.join(materialise(mixed(members), "mixed"), "bucket", "left_semi").select("word_key", "root").distinct()
+    apart = texts_apart(met, root)
     sketch = lambda i: F.element_at("sketch", i + 1)
     width = F.size("sketch")
     keys = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda step: F.transform(F.sequence(F.lit(0), width - 1), lambda s: F.xxhash64(step, s, sketch(s), sketch((s + step) % width)))))
@@ -298,10 +312,58 @@ def further_candidates(sketched: DataFrame, met: DataFrame, root: DataFrame, rou
     return met_again.select("word_key", F.explode("others").alias("c")).select(F.greatest("word_key", "c.word_key").alias("a"), F.least("word_key", "c.word_key").alias("b")).distinct()
 
 
+def rarest(code: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest labelled k-mers of a text, so many that every text linked to it shares one of its own such ones."""
+    labelled = label_occurrences(code)
+    order = np.lexsort((labelled, counts[(mix(labelled) >> np.uint64(64 - CELLS)).astype(np.int64)]))
+    return labelled[order[: int(np.floor((1 - similarity) * len(labelled) + 1e-9)) + 1]]
+
+
+def kmer_counts(texts: DataFrame, sample: int) -> np.ndarray:
+    """Estimated frequency of k-mers, by cells of their hash, from about ``sample`` of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << CELLS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(sums, (mix(label_occurrences(kmers(word_hashes(text)))) >> np.uint64(64 - CELLS)).astype(np.int64), 1)
+        cells = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], names=["cell", "n"])
+
+    part = texts.where(F.pmod(F.xxhash64("word_key", F.lit(1)), F.lit(max(1, texts.count() // sample))) == 0)
+    found = part.select("value").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^CELLS rows at most
+    counts = np.zeros(1 << CELLS, dtype=np.int32)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def exact_candidates(apart: DataFrame, texts: DataFrame, similarity: float, sample: int = 20_000, block: int = 256) -> DataFrame:
+    """(a, b) of all texts (word_key, root) of different classes that share one of their rarest k-mers and are of like length."""
+    whole = materialise(apart.join(texts, "word_key"), "apart")
+    shared = apart.sparkSession.sparkContext.broadcast(kmer_counts(whole, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            codes = [kmers(word_hashes(t)) for t in batch.column(2).to_pylist()]
+            rare = [rarest(c, counts, similarity).view(np.int64) for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(c) for c in codes], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["word_key", "root", "size", "rare"])
+
+    listed = whole.select("word_key", "root", "value").mapInArrow(run, "word_key string, root string, size long, rare array<long>")
+    rows = materialise(listed.select("word_key", "root", "size", F.explode("rare").alias("bucket")), "rarest")
+    groups = mixed(rows, F.ceil(F.count("*") / block).alias("blocks"))
+    rows = materialise(rows.join(groups, "bucket"), "rarest-mixed")
+    # one side of a large group is dealt into blocks, the other meets each of them
+    a = rows.select("bucket", F.pmod(F.xxhash64("word_key"), "blocks").alias("block"), F.col("word_key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    b = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("word_key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    like = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6
+    return a.join(b, ["bucket", "block"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & like).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, is_kept) of each row: the class's least doc_id, and whether this row is the one that stays.
 
-    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. No ``rounds``: no finer buckets.
+    Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. No ``rounds``: neither finer buckets nor the exact pass.
     """
     rows = materialise(sketch_rows(docs, sketches, picks, id_col, text_col), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -317,6 +379,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16
         found = materialise(verify(further, texts, similarity), "further-found")
         if not found.isEmpty():
             root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
+        tried = tried.unionAll(further).unionAll(further.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        last = materialise(exact_candidates(texts_apart(met, root), texts, similarity).join(tried, ["a", "b"], "left_anti"), "last-pairs")
+        found = materialise(verify(last, texts, similarity), "last-found")
+        if not found.isEmpty():
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     # a class is named by its least id; texts without a link are their own root
     named = sketched.select("word_key", "least").join(root, F.col("word_key") == F.col("node"), "left").select("word_key", "least", F.coalesce("root", "word_key").alias("root"))
     named = materialise(named, "named")

@@ -98,6 +98,26 @@ def test_planted_groups_and_a_common_passage(spark, planted):
     assert found_classes(neardup.near_duplicates(frame(spark, planted))) == brute_classes(planted)
 
 
+@pytest.mark.parametrize("share", [0.75, 0.78])
+def test_near_copies_inside_a_long_template(spark, share):
+    """Many unlike texts share most of their words; the near copies among them are found all the same."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template, rows, pairs = [word() for _ in range(int(200 * share))], [], []
+    own = 204 - len(template)
+    for i in range(1200):
+        mine = [word() for _ in range(own)]
+        rows.append(" ".join(template + mine))
+        if i % 12 == 0:
+            pairs.append(sorted((len(rows) - 1, len(rows))))
+            changed = int(0.18 * 200)  # edit similarity 0.82
+            rows.append(" ".join(template + mine[: own - changed] + [word() for _ in range(changed)]))
+    codes = [kmers(word_hashes(t)) for t in rows]
+    assert all(similar(codes[a], codes[b], 0.8) for a, b in pairs) and not similar(codes[2], codes[3], 0.8)
+    found = found_classes(neardup.near_duplicates(frame(spark, list(enumerate(rows)))))
+    assert [g for g in found if len(g) > 1] == pairs
+
+
 def test_one_of_each_class_is_kept(spark, planted):
     found = neardup.near_duplicates(frame(spark, planted)).collect()
     assert sorted(r.doc_id for r in found if r.is_kept) == sorted({r.class_id for r in found})
