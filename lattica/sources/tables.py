@@ -1,6 +1,6 @@
 """The tables of a folder as one property graph.
 
-Vertex ids are a tag of the label times 2^40 plus the key, so they never meet; edges of line items get their id from a hash of
+Vertex ids are a tag of the label times 2^40 plus the key, so they never meet; those of turns are below zero; edges of line items get their id from a hash of
 all columns and the number of the copy, since no key of theirs is unique.
 """
 
@@ -19,6 +19,13 @@ def vid(label: str, key: str) -> Column:
     return F.lit(TAGS[label] * SHIFT) + F.col(key).cast("long")
 
 
+def turn_vid() -> Column:
+    """Below zero, so it meets no other label: conv_id * 2^31 + turn, which can't collide; keys out of range are an error."""
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    outside = (conv < 0) | (conv >= 1 << 32) | (turn < 0) | (turn >= 1 << 31)
+    return F.when(outside, F.raise_error(F.lit("conv_id or turn is out of range")).cast("long")).otherwise(-(conv * F.lit(1 << 31) + turn) - 1)
+
+
 def table_graph(spark: SparkSession, folder: str) -> Graph:
     """Labels and edge types over ``<folder>/<table>.parquet``; nothing is read before a query runs."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
@@ -45,10 +52,10 @@ def table_graph(spark: SparkSession, folder: str) -> Graph:
     g.add_edges("CONTAINS", numbered.select(F.xxhash64("_h", "_n").alias(EID), vid("Order", "l_orderkey").alias(SRC), vid("Part", "l_partkey").alias(DST), "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "Order", "Part")
     supplied = items.select("l_partkey", "l_suppkey").distinct()
     g.add_edges("SUPPLIED_BY", supplied.select((F.lit(7 * SHIFT) + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias(EID), vid("Part", "l_partkey").alias(SRC), vid("Supplier", "l_suppkey").alias(DST)), "Part", "Supplier")
-    talk = read("conversations").select("conv_id", "turn", "role", "text", (F.lit(TAGS["Turn"] * SHIFT) + F.col("conv_id") * 10_000 + F.col("turn")).alias(VID)).dropDuplicates([VID])
+    talk = read("conversations").select("conv_id", "turn", "role", "text", turn_vid().alias(VID)).dropDuplicates(["conv_id", "turn"])
     g.add_nodes("Turn", talk)
     nxt = talk.select("conv_id", "turn", F.col(VID).alias(SRC)).join(talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col(VID).alias(DST)), ["conv_id", "turn"])
-    g.add_edges("NEXT", nxt.select((F.lit(8 * SHIFT) + F.col(SRC) % SHIFT).alias(EID), SRC, DST), "Turn", "Turn")
+    g.add_edges("NEXT", nxt.select(F.col(SRC).alias(EID), SRC, DST), "Turn", "Turn")
     return g
 
 
