@@ -1,7 +1,7 @@
 """Operator 4: quality classifier, naive-Bayes support vectors.
 
 Features are indicators of n-grams: signs are runs without white space, reduced to their shape (letters by case, digits,
-other signs as they are), marked where a sign repeats the one before it; an n-gram holds one or two of them. An indicator
+other signs as they are; long runs are cut into pieces, which all count), marked where a sign repeats the one before it; an n-gram holds one or two of them. An indicator
 says that an n-gram makes up at least 2^-level of the text. Indicators are scaled by the log-ratio of the
 classes' smoothed counts, and a linear hinge-loss model is fitted on them by dual coordinate descent, as Wang and Manning
 describe (NBSVM). Scores are calibrated by a logistic curve over margins of folds that the margin's model did not see.
@@ -34,9 +34,15 @@ RUN = re.compile(r"(.)\1{2,}")
 
 def shape(sign: str) -> str:
     """Letters by case in runs of one, digits as 0, other signs kept in runs of three at most."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in sign[:64])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in sign)
     out = re.sub(r"([Aa0])\1+", r"\1", out)
-    return RUN.sub(r"\1\1\1", out)[:16]
+    return RUN.sub(r"\1\1\1", out)
+
+
+def pieces(sign: str) -> list[str]:
+    """The sign itself, or where it is long, consecutive pieces of it: 64 letters, or 16 where their shape is longer than that."""
+    cut = [sign[i : i + 64] for i in range(0, len(sign), 64)]
+    return [y for x in cut for y in ([x] if len(x) <= 16 or len(shape(x)) <= 16 else [x[i : i + 16] for i in range(0, len(x), 16)])]
 
 
 def _code(text: str) -> int:
@@ -50,7 +56,7 @@ _shapes = Memo(lambda sign: _code(shape(sign)))
 
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature numbers below 2^BITS."""
-    signs = text.split()
+    signs = [y for x in text.split() for y in (pieces(x) if len(x) > 16 else (x,))]
     n = len(signs)
     lines = [x for x in text.split("\n") if x]
     extra = [_code(f"length {min(n, 4096).bit_length()}")]

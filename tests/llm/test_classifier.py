@@ -82,3 +82,12 @@ def test_defined_cases(spark):
     assert {r.score for r in classifier.score(docs, none).collect()} == {0.5}
     one = classifier.train(frame(spark, [(i, "word") for i in range(20)]), spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int"))
     assert {r.score for r in classifier.score(docs, one).collect()} == {1.0}
+
+
+def test_all_of_a_text_without_blanks_counts():
+    """What comes after the first signs of a long run changes the features; short signs stay whole."""
+    han = "你好" * 40
+    assert set(classifier.features(han)) != set(classifier.features(han + "{};=" * 500))
+    mixed = "a1" * 20
+    assert set(classifier.features(mixed)) != set(classifier.features(mixed + "#$" * 40))
+    assert "".join(classifier.pieces("a1#B" * 100)) == "a1#B" * 100 and classifier.pieces("word") == ["word"]
