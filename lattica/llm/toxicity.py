@@ -5,7 +5,9 @@ others are kept, at most ``terms``; documents are TF-IDF vectors over them. A do
 found exactly by cosine: examples lie in blocks, the largest weight of every term in every block bounds what a block
 can reach, and blocks are visited by falling bound until none can hold a nearer example. Votes of the ``k`` nearest
 examples, weighted by nearness, are calibrated by a logistic curve over votes that leave the example itself out; the
-examples, their labels and cosines are the evidence. Documents without a kept term get the share of toxic ones among such examples.
+examples, their labels and cosines are the evidence. Documents without a kept term are compared with all examples by TF-IDF over
+all words of the examples, exactly, and their votes have a curve of their own, learnt from examples without a kept term.
+Only documents that share no word with any example get the share of toxic ones among the examples without a kept term.
 
 Learning uses at most ``sample`` labelled rows outside fold 0, those of least hash of their id, so the index that is
 broadcast has a bound; every document is scored.
@@ -68,6 +70,61 @@ class Vectors:
         return found
 
 
+class Whole:
+    """TF-IDF over all words of the examples: words of many examples as a dense matrix, the others as postings."""
+
+    def __init__(self, texts: list[Counter], k: int):
+        n = len(texts)
+        df = Counter(w for c in texts for w in c)
+        self.n, self.k, self.number = n, k, {w: i for i, w in enumerate(sorted(df))}
+        count = np.array([df[w] for w in self.number], dtype=np.float64)
+        self.idf = np.log((n + 1) / (count + 0.5)) + 1e-9
+        self.row = np.full(len(count), -1)
+        common = np.flatnonzero(count > max(8, n / 16))
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        rows = [(*self.weigh(c), i) for i, c in enumerate(texts) if c]
+        term = np.concatenate([t for t, _, _ in rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w, _ in rows]) if rows else np.zeros(0)
+        example = np.concatenate([np.full(len(t), i) for t, _, i in rows]) if rows else np.zeros(0, np.int64)
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], example[at]] = weight[at]
+        term, weight, example = term[~at], weight[~at], example[~at]
+        by = np.argsort(term, kind="stable")
+        self.post_ids, self.post_weights = example[by].astype(np.int32), weight[by]
+        self.starts = np.searchsorted(term[by], np.arange(len(count) + 1))
+        self.slope, self.offset, self.constant = 8.0, -4.0, None
+
+    def weigh(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known words; unknown ones have part in no cosine with an example."""
+        terms = sorted((self.number[w], c) for w, c in words.items() if w in self.number)
+        numbers = np.array([t for t, _ in terms], dtype=np.int64)
+        w = (1 + np.log(np.array([c for _, c in terms], dtype=np.float64))) * self.idf[numbers]
+        return numbers, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def nearest(self, queries: list[Counter], leave_out: list[int] | None = None, step: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(example numbers, cosines) of the k nearest of each query, nearest first."""
+        for start in range(0, len(queries), step):
+            found = [self.weigh(c) for c in queries[start : start + step]]
+            light = np.zeros((len(found), len(self.dense)))
+            for i, (terms, w) in enumerate(found):
+                at = self.row[terms] >= 0
+                light[i, self.row[terms[at]]] = w[at]
+            sums = light @ self.dense
+            for i, (terms, w) in enumerate(found):
+                first = self.starts[terms]
+                length = self.starts[terms + 1] - first
+                at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+                cosine = np.round(sums[i] + np.bincount(self.post_ids[at], np.repeat(w, length) * self.post_weights[at], self.n), 9)
+                if leave_out is not None:
+                    cosine[leave_out[start + i]] = 0
+                near = np.flatnonzero(cosine > 0)
+                if len(near) > self.k:
+                    near = near[cosine[near] >= np.partition(cosine[near], len(near) - self.k)[len(near) - self.k]]
+                near = near[np.lexsort((near, -cosine[near]))][: self.k]
+                yield near, cosine[near]
+
+
 @dataclass
 class Index:
     """Block-max inverted index over the labelled examples."""
@@ -85,6 +142,20 @@ class Index:
     offset: float = 0.0
     base: float = 0.0
     constant: float | None = None
+    whole: Whole | None = None  # for texts without a kept term
+
+    def judge_bare(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, example numbers, cosines) of texts without a kept term."""
+        none = np.zeros(0, np.int64)
+        if self.whole is None:
+            return [(self.calibrated(None), none, np.zeros(0)) for _ in texts]
+        out = []
+        for ids, sims in self.whole.nearest([words_of(t) for t in texts]):
+            vote = self.vote(ids, sims)
+            at = self.whole
+            score = self.base if vote is None or at.constant is not None else float(1 / (1 + np.exp(-np.clip(at.slope * vote + at.offset, -40, 40))))
+            out.append((score, ids, sims))
+        return out
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(sorted(counts), np.int64, len(counts))
@@ -208,10 +279,18 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
         of = Vectors(chosen)
         for batch in batches:
             found = [of.counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(c) for c in found], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
-
-    examples = sorted(tuple(r) for r in rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").collect())
-    return build(chosen, [dict(zip(t, c, strict=True)) for _, _, t, c in examples], [d for d, *_ in examples], [label for _, label, *_ in examples], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(c) for c in found], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32())), pa.array([list(words_of(t).items()) for t in batch.column(1).to_pylist()], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "label", "terms", "counts", "words"])
+
+    found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>, words map<string,int>").collect()
+    examples = sorted((r.doc_id, r.label, r.terms, r.counts, sorted(r.words.items())) for r in found)
+    index = build(chosen, [dict(zip(t, c, strict=True)) for _, _, t, c, _ in examples], [d for d, *_ in examples], [label for _, label, *_ in examples], k)
+    index.whole = Whole([Counter(dict(w)) for *_, w in examples], k)
+    bare = [i for i, e in enumerate(examples) if not e[2]]
+    found = index.whole.nearest([Counter(dict(examples[i][4])) for i in bare], bare)
+    votes = [(v, index.labels[i]) for i, near in zip(bare, found, strict=True) if (v := index.vote(*near)) is not None]
+    if len({label for _, label in votes}) == 2:
+        index.whole.slope, index.whole.offset = logistic(np.array([v for v, _ in votes]), np.array([label for _, label in votes]))
+    return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,13 +305,17 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         def judge(items: tuple) -> tuple[float, list]:
             counts = dict(items)
             ids, sims = index.nearest(counts)
-            return index.calibrated(index.vote(ids, sims)), [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:3], sims[:3], strict=True)]
+            return index.calibrated(index.vote(ids, sims)), shown(ids, sims)
+
+        def shown(ids: np.ndarray, sims: np.ndarray) -> list:
+            return [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:3], sims[:3], strict=True)]
 
         memo = Memo(judge, 20_000)
-        none = (index.calibrated(None), [])
         for batch in batches:
-            found = [of.counts(t) for t in batch.column(1).to_pylist()]
-            out = [memo[tuple(sorted(c.items()))] if c else none for c in found]
+            texts = batch.column(1).to_pylist()
+            found = [of.counts(t) for t in texts]
+            bare = iter(index.judge_bare([t for t, c in zip(texts, found, strict=True) if not c]))
+            out = [memo[tuple(sorted(c.items()))] if c else ((b := next(bare))[0], shown(*b[1:])) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], evidence)], names=["key", "score", "evidence"])
 
     source = docs.select(docs[id_col].cast("long").alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("value"))
@@ -248,9 +331,10 @@ def reject(docs: DataFrame, index: Index, threshold: float = 0.5, id_col: str =
         index = shared.value
         of = Vectors(index.terms)
         memo = Memo(lambda items: index.calibrated(index.vote(*index.nearest(dict(items)))), 20_000)
-        none = index.calibrated(None)
         for batch in batches:
-            counts = (of.counts(t or "") for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([(memo[tuple(sorted(c.items()))] if c else none) < threshold for c in counts], pa.bool_()))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            counts = [of.counts(t) for t in texts]
+            bare = iter(index.judge_bare([t for t, c in zip(texts, counts, strict=True) if not c]))
+            yield batch.filter(pa.array([(memo[tuple(sorted(c.items()))] if c else next(bare)[0]) < threshold for c in counts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -77,3 +77,17 @@ def test_defined_cases(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     one = toxicity.train(docs, spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1)], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(docs, one).collect()} == {1.0}
+
+
+def test_texts_without_a_kept_term_meet_their_neighbours(spark):
+    """A text with the very words of a labelled toxic example is compared with it, though none of the words is a kept term."""
+    rows = [(i, f"{'vilest slur' if i % 3 == 0 else 'kind words'} filler{i % 7} more filler{i % 5}") for i in range(60)]
+    rows += [(1000 + i, f"odd{i} rare{i} saying{i} nobody{i} knows{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(1000 + i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    index = toxicity.train(frame(spark, rows), labels)
+    taught = set(index.ids.tolist())
+    toxic = next(i for i in range(40) if i % 2 and 1000 + i in taught)
+    new = frame(spark, [(1, rows[60 + toxic][1]), (2, "wholly unseen")])
+    found = {r.doc_id: r for r in toxicity.score(new, index).collect()}
+    assert [(e.doc_id, e.label, round(e.cosine, 6)) for e in found[1].evidence] == [(1000 + toxic, 1, 1.0)]
+    assert found[2].evidence == [] and found[2].score == index.base
