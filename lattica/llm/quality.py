@@ -3,7 +3,7 @@
 Every line is normalised (lower case, blanks collapsed, digits as 0) and hashed. For each host the distinct documents of a
 line are counted; lines in more documents than the host's limit are removed, and a document of which too little is left is
 rejected. Copies of a document must not count as many documents, or every group of copies would lose its lines: documents
-are told apart by the two least line hashes of each, which exact and nearly all near copies share.
+are told apart by a hash of all their normalised lines, so texts that differ in a word are two documents, near copies too.
 
 Texts are read once, for base figures and line hashes, which are written to the shared folder; what is counted, joined and
 shuffled afterwards are numbers. A hot line is one row for each document sketch before its final count, so no task gets
@@ -78,8 +78,7 @@ def figures(text: str) -> tuple[int, int, int, int, int, list[int], list[int], i
     words = split_words(text)
     with_word = [x for x in text.split("\n") if x.strip(BLANKS)]
     hashes, counts = [line_hash(x) for x in with_word], [len(split_words(x)) for x in with_word]
-    least = sorted(set(hashes))[:2]
-    sketch = xxhash.xxh64_intdigest(repr(least).encode()) >> 1
+    sketch = xxhash.xxh64_intdigest(repr(hashes).encode()) >> 1
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(with_word) - len(set(with_word)), repeat_words(words), hashes, counts, sketch
 
 

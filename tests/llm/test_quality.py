@@ -86,3 +86,13 @@ def test_defined_cases(spark):
 def test_the_query_covers_the_table(spark):
     out = queries.op5_line_frequency(spark, SF)
     assert out.columns == COLUMNS and out.count() == documents(spark).count()
+
+
+def test_pages_that_share_a_menu_are_many_documents(spark):
+    """Each page has 20 menu lines and a line of its own; the menu is in all of them, whichever hashes are least."""
+    menu = [f"menu entry {'abcdefghijklmnopqrst'[i]} leads somewhere" for i in range(20)]
+    name = lambda i: "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    docs = frame(spark, [(i, "\n".join([*menu, f"page {name(i)} tells this"]), "en", "h", 0) for i in range(100)])
+    frequent = quality.frequent_lines(quality.measure(docs)).collect()
+    assert [r.n_docs for r in frequent] == [100] * 20
+    assert not any(r.kept for r in quality.judge(docs).collect())
