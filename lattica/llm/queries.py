@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.scan_sql(), "op8_vantage_points": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op5_line_frequency": quality.judge_sql(), "op6_license_scan": licenses.scan_sql(), "op8_vantage_points": OP8_SQL, "op9_warc": OP9_SQL}
 
 
 OP8_SQL = """

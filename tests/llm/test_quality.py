@@ -3,7 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import quality, queries
 
@@ -21,15 +23,14 @@ def base(text):
 
 
 def plain(rows, least, share, keep_share):
-    """(figures, kept) of each (doc_id, text, host)."""
+    """(figures, kept) of each (doc_id, text, host), by sets of texts and lines, without hashes."""
     norm = lambda x: re.sub("[0-9]", "0", " ".join(re.findall(r"[^\x20\x09-\x0D]+", x.lower())))
     lines = [[x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for _, t, _ in rows]
-    sketch = lambda ls: tuple(sorted({quality.line_hash(x) for x in ls})[:2])
     docs, hosts = defaultdict(set), defaultdict(set)
-    for ls, (_, _, host) in zip(lines, rows, strict=True):
-        hosts[host or ""].add(sketch(ls))
+    for ls, (_, t, host) in zip(lines, rows, strict=True):
+        hosts[host or ""].add(t or "")
         for x in ls:
-            docs[host or "", norm(x)].add(sketch(ls))
+            docs[host or "", norm(x)].add(t or "")
     out = []
     for ls, (i, t, host) in zip(lines, rows, strict=True):
         *figures, failed = base(t)
@@ -96,3 +97,25 @@ def test_pages_that_share_a_menu_are_many_documents(spark):
     frequent = quality.frequent_lines(quality.measure(docs)).collect()
     assert [r.n_docs for r in frequent] == [100] * 20
     assert not any(r.kept for r in quality.judge(docs).collect())
+
+
+def test_documents_of_numbers_are_distinct(spark):
+    """Tables that differ in digits alone are different documents that share their normalised lines."""
+    docs = frame(spark, [(i, "\n".join(f"row {j} holds the number {1000 + i * 31 + j}" for j in range(8)), "en", "h", 0) for i in range(40)])
+    assert not any(r.kept for r in quality.judge(docs).collect())
+
+
+def test_lines_leave_by_place(spark):
+    rows = [("a\nb\nc\n", [0]), ("a\nb\nc\n", [1, 2]), ("a\n\nb", [0, 2]), ("a", [0]), ("\r\na\n\n", [1])]
+    want = ["b\nc\n", "a\n", "", "", "\r\n\n"]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "i int, t string, g array<int>")
+    assert [r.out for r in df.select("i", quality.without_lines(F.col("t"), F.col("g")).alias("out")).orderBy("i").collect()] == want
+
+
+def test_the_query_is_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cursor = con.execute(queries.oracle_sql()["op5_line_frequency"])
+    names = [d[0] for d in cursor.description]
+    want = sorted((repr(row[names.index("doc_id")]), *(row[names.index(c)] for c in COLUMNS[1:])) for row in cursor.fetchall())
+    assert got(queries.op5_line_frequency(spark, SF)) == want
