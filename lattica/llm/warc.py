@@ -8,10 +8,11 @@ Reading is splittable: a task gets a byte range, looks for the gzip magic from i
 member only if its head decodes to a WARC version line. It owns the records that start inside its range, reads the last
 of them beyond the range's end, and follows members from end to start. Where a chain of members breaks off before
 another member or the end of the file, its records were bytes inside a payload: they are dropped and the search goes on.
+Contents of a chain are held up to a bound while it is followed; the others are decoded again once it is known to be whole.
 
 Defined cases: a null html is an empty payload; repeated rows are equal payloads (ties on the id: the row of least url);
-a null id can't be a target unless all ids of the payload are null, and then refers_to stays null; an empty table
-gives no file and no record; extra columns are ignored.
+a null id can't be a target unless all ids of the payload are null, and then refers_to stays null; very long payloads are
+one record, held whole by one task; an empty table gives no file and no record; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,23 +151,31 @@ def decode_member(source: Source, start: int, head_only: bool = False) -> tuple[
     return (content, at - len(unpacker.unused_data)) if content.startswith(HEAD) else None
 
 
-def records_in(source: Source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of the records that start in [start, end)."""
+def chain_from(source: Source, at: int, end: int, hold: int) -> tuple[list[tuple[int, bytes | None]], int]:
+    """Members that follow one another from ``at`` and start before ``end``, and where the last one ends.
+
+    Contents are held up to ``hold`` bytes; those of further members are None, to be decoded again.
+    """
+    chain, held = [], 0
+    while at < end and (found := decode_member(source, at)):
+        held += len(found[0])
+        chain.append((at, found[0] if held <= hold else None))
+        at = found[1]
+    return chain, at
+
+
+def records_in(source: Source, start: int, end: int, hold: int = 64_000_000) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the records that start in [start, end); a chain is whole before its first record is given."""
     at = start
     while 0 <= (at := source.find(MAGIC, at, end)) < end:
-        chain, place = [], at
-        while place < end and (found := decode_member(source, place)):
-            chain.append((place, found[0]))
-            place = found[1]
-            if sum(len(c) for _, c in chain) > 64_000_000:  # a chain of that length is one of whole records
-                yield from chain
-                chain = []
-        if chain or place > at:
-            if place >= source.size or decode_member(source, place, head_only=True):
-                yield from chain
-                at = place
-                continue
-        at += 1
+        chain, place = chain_from(source, at, end, hold)
+        if chain and (place >= source.size or decode_member(source, place, head_only=True)):
+            for i, (first, content) in enumerate(chain):
+                chain[i] = None  # given away
+                yield first, content if content is not None else decode_member(source, first)[0]
+            at = place
+        else:
+            at += 1
 
 
 def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 8_000_000) -> DataFrame:
@@ -204,8 +213,6 @@ def hex_of(digest: str | None) -> str | None:
     return base64.b32decode(digest.removeprefix("sha1:")).hex() if digest and digest.startswith("sha1:") else None
 
 
-
-
 def page_records(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records read back; responses are hashed anew."""
     h = lambda name: F.col("headers").getItem(name)
