@@ -1,12 +1,15 @@
 """Operator 8: nearest neighbours by vantage-point trees, one for each shard.
 
 Vectors are dealt into shards by a hash of their id; a task builds the tree of a shard and writes it to the shared folder.
-Queries go in blocks; a task takes one block through the trees of all shards, so its bounds tighten from shard to shard and
-nothing but the answers leaves it. A child whose distance interval to the vantage point shows that none of its vectors
-can be nearer than ``bound`` is skipped if lower_bound * factor > bound: factor 1 is exact, larger factors prune more.
+Each query goes to every shard, in blocks: a task takes one block through one tree, and the k nearest of each shard are merged
+by a ranking with a limit. A child whose distance interval to the vantage point shows that none of its vectors can be nearer
+than ``bound`` is skipped if lower_bound * factor > bound: factor 1 is exact, larger factors prune more. In a leaf, squared
+norms and products rule out most vectors, with a margin above their rounding; the others get their distance summed
+component by component.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components, and rows with a null id, take no
-part; vectors are compared with those of their own length only; rows that share a query's id count as the query's own;
+part; vectors are compared with those of their own length only; very long ones are held whole, a block of queries and a leaf
+at a time; rows that share a query's id count as the query's own, and each of them is a query;
 ties go to the smaller id; fewer candidates than k give fewer rows; empty tables give no row; extra columns are ignored.
 """
 
@@ -14,12 +17,10 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fs_of, work_path
@@ -56,16 +57,17 @@ def build(points: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Search:
-    """The k nearest so far of a block of queries, over one tree after another."""
+    """The k nearest so far of a block of queries."""
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, factor: float):
         self.q, self.ids, self.k, self.factor = queries, ids, k, factor
+        self.norm = (queries * queries).sum(1)
         self.dist = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.score = np.full((len(queries), k), np.inf)
 
     def over(self, tree: dict[str, np.ndarray], points: np.ndarray, ids: np.ndarray) -> None:
         nodes, bounds, order = tree["nodes"], tree["bounds"], tree["order"]
+        norms = (points * points).sum(1)
         stack = [(0, np.arange(len(self.q)), np.zeros(len(self.q)))] if len(points) else []
         while stack:
             node, active, low = stack.pop()
@@ -75,8 +77,9 @@ class Search:
                 continue
             start, end, vantage, near, far = nodes[node]
             if vantage < 0:
-                for a in range(0, len(active), 256):
-                    self._leaf(active[a : a + 256], points[order[start:end]], ids[order[start:end]])
+                own = order[start:end]
+                for a in range(0, len(active), 1024):
+                    self._leaf(active[a : a + 1024], points[own], norms[own], ids[own])
                 continue
             d = np.sqrt(((self.q[active] - points[vantage]) ** 2).sum(1))
             b = bounds[node]
@@ -87,17 +90,25 @@ class Search:
                 if which.any():
                     stack.append((child, active[which], lows[which]))
 
-    def _leaf(self, active: np.ndarray, points: np.ndarray, ids: np.ndarray) -> None:
-        diff = self.q[active][:, None, :] - points[None, :, :]
-        dist = np.sqrt((diff * diff).sum(2))
-        dist[ids[None, :] == self.ids[active][:, None]] = np.inf
-        if not (dist <= self.dist[active, -1:]).any():
+    def _leaf(self, active: np.ndarray, points: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> None:
+        size = self.norm[active][:, None] + norms[None, :]
+        about = size - 2 * (self.q[active] @ points.T)  # squared distances, up to rounding
+        worst = self.dist[active, -1:]
+        r, c = np.nonzero((about <= worst * worst + 1e-9 * size) & (ids[None, :] != self.ids[active][:, None]))
+        if not len(r):
             return
-        dist = np.concatenate([self.dist[active], dist], 1)
-        found = np.concatenate([self.found[active], np.broadcast_to(ids, (len(active), len(ids)))], 1)
-        by = np.lexsort((found, dist), axis=1)[:, : self.k]
-        self.dist[active] = np.take_along_axis(dist, by, 1)
-        self.found[active] = np.take_along_axis(found, by, 1)
+        dist = np.empty(len(r))
+        for a in range(0, len(r), 65536):
+            diff = self.q[active[r[a : a + 65536]]] - points[c[a : a + 65536]]
+            dist[a : a + 65536] = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1])
+        rows = np.unique(r)
+        held = active[rows]
+        at = np.concatenate([np.repeat(np.arange(len(rows)), self.k), np.searchsorted(rows, r)])
+        dist, found = np.concatenate([self.dist[held].ravel(), dist]), np.concatenate([self.found[held].ravel(), ids[c]])
+        by = np.lexsort((found, dist, at))
+        place = np.arange(len(by)) - np.searchsorted(at[by], np.arange(len(rows)))[at[by]]
+        by = by[place < self.k].reshape(len(rows), self.k)
+        self.dist[held], self.found[held] = dist[by], found[by]
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -135,54 +146,30 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return sorted((r.dim, r.file) for r in dealt.groupBy("dim", "shard").applyInPandas(write, "dim int, file string").collect())  # one row a shard
 
 
-def search(df: DataFrame, index: list[tuple[int, str]], is_query: Column, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192) -> DataFrame:
+def search(df: DataFrame, index: list[tuple[int, str]], is_query: Column, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row for which ``is_query`` (over column ``id``) holds."""
     spark = df.sparkSession
-    queries = valid_vectors(df, id_col, vec_col).where(is_query)
-    n = queries.count()
-    blocks = max(1, -(-n // block), min(n // 16, 2 * spark.sparkContext.defaultParallelism))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids_all, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for dim in sorted({len(v) for v in vectors}):
-                own = [i for i, v in enumerate(vectors) if len(v) == dim]
-                for a in range(0, len(own), block):
-                    part = own[a : a + block]
-                    found = Search(np.array([vectors[i] for i in part]), ids_all[part], k, factor)
-                    for d, file in index:
-                        if d == dim:
-                            fs, base = fs_of(file.rsplit("/", 1)[0])
-                            with fs.open_input_file(f"{base}/{file.rsplit('/', 1)[1]}") as f:
-                                tree = dict(np.load(io.BytesIO(f.read())))
-                            points = tree["points"].astype(np.float64)
-                            before = found.found.copy()
-                            found.over(tree, points, tree["ids"])
-                            exact_scores(found, before, points, tree["ids"])
-                    yield answers(found)
-
-    return queries.repartition(blocks, "id").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
-
-
-def exact_scores(found: Search, before: np.ndarray, points: np.ndarray, ids: np.ndarray) -> None:
-    """Scores of the answers that a tree changed, summed component by component in order."""
-    keep = (found.found[:, :, None] == before[:, None, :]) & (before[:, None, :] != np.iinfo(np.int64).max)
-    scores = np.full(found.found.shape, np.inf)
-    r, c, o = np.nonzero(keep)
-    scores[r, c] = found.score[r, o]
-    by = np.argsort(ids, kind="stable")
-    r, c = np.nonzero(np.isinf(scores) & np.isfinite(found.dist))
-    rows = by[np.searchsorted(ids[by], found.found[r, c])]
-    diff = found.q[r] - points[rows]
-    scores[r, c] = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1]) if len(r) else []
-    found.score = scores
-
-
-def answers(found: Search) -> pa.RecordBatch:
-    by = np.lexsort((found.found, found.score), axis=1)
-    ids, score = np.take_along_axis(found.found, by, 1), np.take_along_axis(found.score, by, 1)
-    r, c = np.nonzero(np.isfinite(score))
-    return pa.RecordBatch.from_pydict({"query_id": found.ids[r], "rank": (c + 1).astype(np.int32), "vec_id": ids[r, c], "score": score[r, c]})
+    trees = spark.createDataFrame(index, "dim int, file string")  # one row a shard
+    copies = Window.partitionBy("id", "vec").orderBy("id")
+    queries = valid_vectors(df, id_col, vec_col).where(is_query).withColumn("copy", F.row_number().over(copies))
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.join(F.broadcast(trees), F.size("vec") == F.col("dim")).withColumn("block", F.pmod(F.xxhash64("id", "copy"), F.lit(blocks)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = Search(np.array(group["vec"].tolist(), dtype=np.float64), group["id"].to_numpy(np.int64), k, factor)
+        file = group["file"].iloc[0]
+        fs, base = fs_of(file.rsplit("/", 1)[0])
+        with fs.open_input_file(f"{base}/{file.rsplit('/', 1)[1]}") as f:
+            tree = dict(np.load(io.BytesIO(f.read())))
+        found.over(tree, tree["points"].astype(np.float64), tree["ids"])
+        r, c = np.nonzero(np.isfinite(found.dist))
+        return pd.DataFrame({"query_id": found.ids[r], "query": group["query"].to_numpy()[r], "vec_id": found.found[r, c], "score": found.dist[r, c]})
+
+    # a query is told from others of its id by its vector and the number of the copy
+    named = dealt.select("id", "vec", F.struct(F.xxhash64("vec").alias("vec_hash"), "copy").cast("string").alias("query"), "file", "block")
+    near = named.groupBy("file", "block").applyInPandas(run, "query_id long, query string, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def brute_force(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> list[list[int]]:

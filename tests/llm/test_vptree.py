@@ -70,7 +70,7 @@ def test_pruning_skips_vectors(clustered):
     tree, seen = vptree.build(points), []
     search = vptree.Search(points[:1], ids[:1], 10, 1.0)
     leaf = search._leaf
-    search._leaf = lambda active, p, i: (seen.append(len(p)), leaf(active, p, i))
+    search._leaf = lambda active, p, n, i: (seen.append(len(p)), leaf(active, p, n, i))
     search.over(tree, points, ids)
     assert sum(seen) < len(points) / 2
 
