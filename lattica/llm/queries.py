@@ -47,10 +47,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted, evidence) of every document; evidence: JSON of the nearest examples."""
     docs = table(spark, sf_dir, "documents")
     index = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, index).select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.score(docs, index).select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.to_json("evidence").alias("evidence"))
 
 
 def op8_vantage_points(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> DataFrame:

@@ -1,20 +1,24 @@
 """Operator 7: toxicity by nearest labelled examples.
 
-Terms are words and their beginnings of three to eight letters. Terms that tell labelled toxic documents from
-others are kept, at most ``terms``; documents are TF-IDF vectors over them. A document's nearest examples are
-found exactly by cosine: examples lie in blocks, the largest weight of every term in every block bounds what a block
-can reach, and blocks are visited by falling bound until none can hold a nearer example. Votes of the ``k`` nearest
-examples, weighted by nearness, are calibrated by a logistic curve over votes that leave the example itself out; the
-examples, their labels and cosines are the evidence. Documents without a kept term are compared with all examples by TF-IDF over
-all words of the examples, exactly, and their votes have a curve of their own, learnt from examples without a kept term.
-Only documents that share no word with any example get the share of toxic ones among the examples without a kept term.
+Terms are words and their beginnings of three to eight letters. Terms that tell labelled toxic documents from others are kept,
+all that pass the test; documents are TF-IDF vectors over them. A document's nearest examples are found exactly by
+cosine: examples lie in blocks, the largest weight of every term in every block bounds what a block can reach, and
+blocks are visited by falling bound until none can hold a nearer example. Votes of the ``k`` nearest examples, weighted by
+nearness, are calibrated by a logistic curve over votes that leave the example itself out; the examples, their labels and
+cosines are the evidence.
+
+Documents without a kept term are compared with all examples by TF-IDF over all words: the neighbours are the ``k`` nearest of
+those with a cosine of ``near`` or more, found exactly through the rarest words of the text, as the other words together can't
+reach ``near``. Their votes have a curve of their own, learnt from examples without a kept term; a text without such a
+neighbour gets the share of toxic ones among the examples without one.
 
 Learning uses at most ``sample`` labelled rows outside fold 0, those of least hash of their id, so the index that is
-broadcast has a bound; every document is scored.
+broadcast is bounded by their words; every document is scored.
 
 Defined cases: null and empty texts have no term; null ids and labels teach nothing; ties of cosine go to
 the earlier example; with one class or none among the labels every score is the share of label 1 (0 without labels);
-repeated rows get the same score; extra columns are ignored; an empty table gives an empty result.
+very long texts are scored whole; repeated rows get the same score; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,88 +46,98 @@ def _terms_of(word: str) -> tuple[str, ...]:
 _terms = Memo(_terms_of, 100_000)
 
 
-def words_of(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
+def word_hash(word: str) -> bytes:
+    return xxhash.xxh64_digest(word.encode("utf-8", "surrogatepass"))
 
 
 class Vectors:
-    """Counts of the kept terms of a text."""
+    """Counts of the kept terms of a text, and the hashes of its words."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.heads = {t[1:4] for t in terms if t[0] == "^"}
-        self.of_run = Memo(self._run, 200_000)
+        self.of_run = Memo(self._run, 150_000)
 
-    def _run(self, run: str) -> tuple[int, ...]:
+    def _run(self, run: str) -> tuple[tuple[int, ...], bytes]:
         words = (run,) if run.isalnum() else WORD.findall(run)
-        return tuple(i for w in words for i in self._word(w))
+        return tuple(i for w in words for i in self._word(w)), b"".join(map(word_hash, words))
 
     def _word(self, word: str) -> tuple[int, ...]:
         if word[:3] in self.heads:
             return tuple(self.number[t] for t in _terms_of(word) if t in self.number)
         return (self.number[word],) if word in self.number else ()
 
-    def counts(self, text: str) -> dict[int, int]:
+    def read(self, text: str) -> tuple[dict[int, int], list[bytes]]:
+        """Counts of kept terms; hashes of the words of each run."""
         found: dict[int, int] = {}
-        for hits in map(self.of_run.__getitem__, text.lower().split()):
+        runs = list(map(self.of_run.__getitem__, text.lower().split()))
+        for hits, _ in runs:
             for i in hits:
                 found[i] = found.get(i, 0) + 1
-        return found
+        return found, [h for _, h in runs]
+
+
+def word_counts(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes and how often each occurs."""
+    return np.unique(np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64), return_counts=True)
 
 
 class Whole:
-    """TF-IDF over all words of the examples: words of many examples as a dense matrix, the others as postings."""
+    """TF-IDF over all words of the examples, numbered from the rarest on; words are 64-bit hashes."""
 
-    def __init__(self, texts: list[Counter], k: int):
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, near: float):
         n = len(texts)
-        df = Counter(w for c in texts for w in c)
-        self.n, self.k, self.number = n, k, {w: i for i, w in enumerate(sorted(df))}
-        count = np.array([df[w] for w in self.number], dtype=np.float64)
-        self.idf = np.log((n + 1) / (count + 0.5)) + 1e-9
-        self.row = np.full(len(count), -1)
-        common = np.flatnonzero(count > max(8, n / 16))
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n))
-        rows = [(*self.weigh(c), i) for i, c in enumerate(texts) if c]
-        term = np.concatenate([t for t, _, _ in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w, _ in rows]) if rows else np.zeros(0)
-        example = np.concatenate([np.full(len(t), i) for t, _, i in rows]) if rows else np.zeros(0, np.int64)
-        at = self.row[term] >= 0
-        self.dense[self.row[term[at]], example[at]] = weight[at]
-        term, weight, example = term[~at], weight[~at], example[~at]
-        by = np.argsort(term, kind="stable")
-        self.post_ids, self.post_weights = example[by].astype(np.int32), weight[by]
-        self.starts = np.searchsorted(term[by], np.arange(len(count) + 1))
+        self.n, self.k, self.near = n, k, near
+        every = np.concatenate([h for h, _ in texts]) if n else np.zeros(0, np.uint64)
+        self.words, term, df = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.lexsort((self.words, df))
+        self.number = np.empty(len(order), dtype=np.int64)
+        self.number[order] = np.arange(len(order))
+        self.idf = np.log((n + 1) / (df[order] + 0.5)) + 1e-9
+        self.unseen = float(np.log((n + 1) / 0.5))
+        sizes = np.array([len(h) for h, _ in texts], dtype=np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        example = np.repeat(np.arange(n), sizes)
+        self.terms = self.number[term].astype(np.int32)
+        weight = (1 + np.log(np.concatenate([c for _, c in texts]) if n else np.zeros(0))) * self.idf[self.terms]
+        norm = np.sqrt(np.bincount(example, weight * weight, n))
+        self.weights = weight / norm[example]
+        by = np.lexsort((example, self.terms))
+        self.post_ids, self.post_weights = example[by].astype(np.int32), self.weights[by]
+        self.starts = np.searchsorted(self.terms[by], np.arange(len(order) + 1))
         self.slope, self.offset, self.constant = 8.0, -4.0, None
 
-    def weigh(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of the known words; unknown ones have part in no cosine with an example."""
-        terms = sorted((self.number[w], c) for w, c in words.items() if w in self.number)
-        numbers = np.array([t for t, _ in terms], dtype=np.int64)
-        w = (1 + np.log(np.array([c for _, c in terms], dtype=np.float64))) * self.idf[numbers]
-        return numbers, w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def nearest(self, queries: list[Counter], leave_out: list[int] | None = None, step: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(example numbers, cosines) of the k nearest of each query, nearest first."""
-        for start in range(0, len(queries), step):
-            found = [self.weigh(c) for c in queries[start : start + step]]
-            light = np.zeros((len(found), len(self.dense)))
-            for i, (terms, w) in enumerate(found):
-                at = self.row[terms] >= 0
-                light[i, self.row[terms[at]]] = w[at]
-            sums = light @ self.dense
-            for i, (terms, w) in enumerate(found):
-                first = self.starts[terms]
-                length = self.starts[terms + 1] - first
-                at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-                cosine = np.round(sums[i] + np.bincount(self.post_ids[at], np.repeat(w, length) * self.post_weights[at], self.n), 9)
-                if leave_out is not None:
-                    cosine[leave_out[start + i]] = 0
-                near = np.flatnonzero(cosine > 0)
-                if len(near) > self.k:
-                    near = near[cosine[near] >= np.partition(cosine[near], len(near) - self.k)[len(near) - self.k]]
-                near = near[np.lexsort((near, -cosine[near]))][: self.k]
-                yield near, cosine[near]
+    def weigh(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known words, the rarest first; unknown ones count in the norm alone."""
+        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), dtype=bool)
+        numbers, tf = self.number[at[known]], 1 + np.log(counts)
+        w = tf[known] * self.idf[numbers]
+        norm = np.sqrt((w * w).sum() + ((tf[~known] * self.unseen) ** 2).sum())
+        by = np.argsort(numbers)
+        return numbers[by], w[by] / norm if len(w) else w
+
+    def nearest(self, hashes: np.ndarray, counts: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(example numbers, cosines) of the k nearest that reach ``near``, nearest first."""
+        terms, w = self.weigh(hashes, counts)
+        rest = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0.0))  # norm of the words from each one on
+        if not len(w) or rest[0] < self.near - 1e-9:
+            return np.zeros(0, np.int64), np.zeros(0)
+        cut = int(np.argmax(rest <= 0.6 * self.near))  # those from here on add at most 0.6 * near
+        first, length = self.starts[terms[:cut]], self.starts[terms[:cut] + 1] - self.starts[terms[:cut]]
+        at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+        sums = np.bincount(self.post_ids[at], np.repeat(w[:cut], length) * self.post_weights[at], self.n)
+        ids = np.flatnonzero(sums + rest[cut] >= self.near - 1e-9)
+        ids = ids[ids != leave_out]
+        sims = np.empty(len(ids))
+        for i, e in enumerate(ids.tolist()):
+            own = slice(self.ends[e], self.ends[e + 1])
+            place = np.minimum(np.searchsorted(terms, self.terms[own]), len(terms) - 1)
+            sims[i] = (w[place] * self.weights[own])[terms[place] == self.terms[own]].sum()
+        sims = np.round(sims, 9)
+        ids, sims = ids[sims >= self.near], sims[sims >= self.near]
+        by = np.lexsort((ids, -sims))[: self.k]
+        return ids[by], sims[by]
 
 
 @dataclass
@@ -144,18 +159,15 @@ class Index:
     constant: float | None = None
     whole: Whole | None = None  # for texts without a kept term
 
-    def judge_bare(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, example numbers, cosines) of texts without a kept term."""
-        none = np.zeros(0, np.int64)
+    def judge_bare(self, hashes: list[bytes]) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, example numbers, cosines) of a text without a kept term."""
         if self.whole is None:
-            return [(self.calibrated(None), none, np.zeros(0)) for _ in texts]
-        out = []
-        for ids, sims in self.whole.nearest([words_of(t) for t in texts]):
-            vote = self.vote(ids, sims)
-            at = self.whole
-            score = self.base if vote is None or at.constant is not None else float(1 / (1 + np.exp(-np.clip(at.slope * vote + at.offset, -40, 40))))
-            out.append((score, ids, sims))
-        return out
+            return self.calibrated(None), np.zeros(0, np.int64), np.zeros(0)
+        ids, sims = self.whole.nearest(*word_counts(hashes))
+        vote = self.vote(ids, sims)
+        if vote is None or self.constant is not None:
+            return self.calibrated(None), ids, sims
+        return float(1 / (1 + np.exp(-np.clip(self.whole.slope * vote + self.whole.offset, -40, 40)))), ids, sims
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(sorted(counts), np.int64, len(counts))
@@ -235,10 +247,11 @@ def build(terms: list[str], counts: list[dict[int, int]], ids: list[int], labels
     return index
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 12_000, terms: int = 4096, k: int = 15, least: int = 3) -> Index:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 12_000, k: int = 15, least: int = 3, near: float = 0.5) -> Index:
     """Choose terms and build the index from at most ``sample`` label rows.
 
-    Term counts are summed by Spark; at most ``terms`` of them and the examples' counts of these go to the driver.
+    Term counts are summed by Spark; the terms that pass the test and the examples' word hashes and counts (12 bytes for each
+    distinct word of an example) go to the driver.
     """
     # bounded by sample; copies of a text would make its words look telling
     rows = materialise(labelled_sample(docs, labels, target, sample).dropDuplicates(["value", "label"]), "toxicity-sample")
@@ -272,24 +285,33 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     ratio = F.log(((F.col("c1") + 0.5) / (n1 + 1)) / ((F.col("c0") + 0.5) / (n0 + 1)))
     # log-likelihood ratio against the common share; among so many terms chance reaches about log(tested)
     evidence = F.col("c1") * F.log(F.col("c1") / (n * share)) + F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / (n * (1 - share)))).otherwise(0.0)
-    kept = counted.withColumns({"ratio": ratio, "evidence": evidence}).where((F.col("ratio") > 2.0) & (F.col("evidence") > float(np.log(tested)) + 1)).orderBy(F.col("evidence").desc(), "term").limit(terms)
-    chosen = [r.term for r in kept.select("term").collect()]
+    kept = counted.withColumns({"ratio": ratio, "evidence": evidence}).where((F.col("ratio") > 2.0) & (F.col("evidence") > float(np.log(tested)) + 1))
+    chosen = [r.term for r in kept.orderBy(F.col("evidence").desc(), "term").select("term").collect()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Vectors(chosen)
         for batch in batches:
-            found = [of.counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(c) for c in found], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32())), pa.array([list(words_of(t).items()) for t in batch.column(1).to_pylist()], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "label", "terms", "counts", "words"])
-
-    found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>, words map<string,int>").collect()
-    examples = sorted((r.doc_id, r.label, r.terms, r.counts, sorted(r.words.items())) for r in found)
-    index = build(chosen, [dict(zip(t, c, strict=True)) for _, _, t, c, _ in examples], [d for d, *_ in examples], [label for _, label, *_ in examples], k)
-    index.whole = Whole([Counter(dict(w)) for *_, w in examples], k)
-    bare = [i for i, e in enumerate(examples) if not e[2]]
-    found = index.whole.nearest([Counter(dict(examples[i][4])) for i in bare], bare)
-    votes = [(v, index.labels[i]) for i, near in zip(bare, found, strict=True) if (v := index.vote(*near)) is not None]
+            rows = []
+            for text in batch.column(1).to_pylist():
+                counts, hashes = of.read(text)
+                words, n = word_counts(hashes)
+                own = sorted(counts)
+                rows.append((np.array(own, "<i4").tobytes(), np.array([counts[t] for t in own], "<i4").tobytes(), words.astype("<u8").tobytes(), n.astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["doc_id", "label", "terms", "counts", "words", "times"])
+
+    found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary, words binary, times binary").toArrow()
+    columns = {c: found[c].to_pylist() for c in found.column_names}
+    del found
+    order = sorted(range(len(columns["doc_id"])), key=lambda i: (columns["doc_id"][i], columns["label"][i], columns["words"][i], columns["times"][i]))
+    array = lambda name, kind: [np.frombuffer(columns[name][i], kind) for i in order]
+    counts = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(array("terms", "<i4"), array("counts", "<i4"), strict=True)]
+    index = build(chosen, counts, [columns["doc_id"][i] for i in order], [columns["label"][i] for i in order], k)
+    words = list(zip(array("words", "<u8"), array("times", "<i4"), strict=True))
+    whole = index.whole = Whole(words, k, near)
+    votes = [(index.vote(*whole.nearest(*words[i], i)), index.labels[i]) for i, c in enumerate(counts) if not c]
+    votes = [(v, label) for v, label in votes if v is not None]
     if len({label for _, label in votes}) == 2:
-        index.whole.slope, index.whole.offset = logistic(np.array([v for v, _ in votes]), np.array([label for _, label in votes]))
+        whole.slope, whole.offset = logistic(np.array([v for v, _ in votes]), np.array([label for _, label in votes]))
     return index
 
 
@@ -310,12 +332,16 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         def shown(ids: np.ndarray, sims: np.ndarray) -> list:
             return [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:3], sims[:3], strict=True)]
 
+        def judge_text(text: str) -> tuple[float, list]:
+            counts, hashes = of.read(text)
+            if counts:
+                return memo[tuple(sorted(counts.items()))]
+            found, ids, sims = index.judge_bare(hashes)
+            return found, shown(ids, sims)
+
         memo = Memo(judge, 20_000)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [of.counts(t) for t in texts]
-            bare = iter(index.judge_bare([t for t, c in zip(texts, found, strict=True) if not c]))
-            out = [memo[tuple(sorted(c.items()))] if c else ((b := next(bare))[0], shown(*b[1:])) for c in found]
+            out = [judge_text(t) for a in range(0, len(batch), 256) for t in batch.column(1).slice(a, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], evidence)], names=["key", "score", "evidence"])
 
     source = docs.select(docs[id_col].cast("long").alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("value"))
@@ -331,10 +357,13 @@ def reject(docs: DataFrame, index: Index, threshold: float = 0.5, id_col: str =
         index = shared.value
         of = Vectors(index.terms)
         memo = Memo(lambda items: index.calibrated(index.vote(*index.nearest(dict(items)))), 20_000)
+
+        def low(text: str | None) -> bool:
+            counts, hashes = of.read(text or "")
+            return (memo[tuple(sorted(counts.items()))] if counts else index.judge_bare(hashes)[0]) < threshold
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            counts = [of.counts(t) for t in texts]
-            bare = iter(index.judge_bare([t for t, c in zip(texts, counts, strict=True) if not c]))
-            yield batch.filter(pa.array([(memo[tuple(sorted(c.items()))] if c else next(bare)[0]) < threshold for c in counts], pa.bool_()))
+            texts = batch.column(at).cast(pa.string())
+            yield batch.filter(pa.array([low(t) for a in range(0, len(batch), 256) for t in texts.slice(a, 256).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,6 +34,31 @@ def test_nearest_is_exact(n):
         assert ids.tolist() == by and np.allclose(sims, cosine[by])
 
 
+def test_whole_texts_meet_all_that_are_near():
+    """Every example of cosine 0.5 or more, against cosines of dense vectors; unknown words count in the norm."""
+    rng = random.Random(5)
+    text = lambda: [rng.choice("abcdefghijklmnopqrstuvwxyz") if rng.random() < 0.6 else f"rare{rng.randrange(300)}" for _ in range(rng.randrange(0, 25))]
+    base = [text() for _ in range(200)]
+    texts = base + [t[: len(t) // 2] + text()[:5] for t in base]
+    hashed = lambda ws: toxicity.word_counts([toxicity.word_hash(w) for w in ws])
+    whole = toxicity.Whole([hashed(t) for t in texts], k=9, near=0.5)
+    df = Counter(w for t in texts for w in set(t))
+    names = sorted(df)
+
+    def vector(ws):
+        c = Counter(ws)
+        v = np.array([(1 + np.log(c[w])) * (np.log((len(texts) + 1) / (df[w] + 0.5)) + 1e-9) if w in c else 0.0 for w in names])
+        other = sum(((1 + np.log(n)) * np.log((len(texts) + 1) / 0.5)) ** 2 for w, n in c.items() if w not in df)
+        return v / (np.sqrt((v * v).sum() + other) or 1.0)
+
+    dense = np.array([vector(t) for t in texts])
+    for ws in [*base[:40], *(t[: len(t) // 2] + text()[:8] for t in base[:60]), *(b + [f"new{i}" for i in range(6)] for b in base[:30]), []]:
+        cosine = np.round(dense @ vector(ws), 9)
+        want = [i for i in np.lexsort((np.arange(len(texts)), -cosine)) if cosine[i] >= 0.5][:9]
+        ids, sims = whole.nearest(*hashed(ws))
+        assert ids.tolist() == want and np.allclose(sims, cosine[want])
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     return {r.doc_id: r for r in queries.op7_toxicity(spark, FOLDER).collect()}
