@@ -1,8 +1,9 @@
 """Operator 4: quality classifier, naive-Bayes support vectors.
 
-Features are indicators of n-grams: signs are runs without white space, reduced to their shape (letters by case, digits,
-other signs as they are; long runs are cut into pieces, which all count), marked where a sign repeats the one before it; an n-gram holds one or two of them. An indicator
-says that an n-gram makes up at least 2^-level of the text. Indicators are scaled by the log-ratio of the
+Features are indicators of n-grams of one and two signs, runs without white space (long ones are cut into pieces, which all
+count): n-grams of the words as they are in lower case, and n-grams of their shapes (letters by case, digits, other signs as
+they are), marked where a sign repeats the one before it. An indicator of a shape says that its n-gram makes up at least
+2^-level of the text. Indicators are scaled by the log-ratio of the
 classes' smoothed counts, and a linear hinge-loss model is fitted on them by dual coordinate descent, as Wang and Manning
 describe (NBSVM). Scores are calibrated by a logistic curve over margins of folds that the margin's model did not see.
 
@@ -10,8 +11,8 @@ Learning uses at most ``sample`` labelled rows, those of least hash of their id,
 
 Defined cases: null and empty texts have the features of the empty text and a score; null ids and null labels teach nothing;
 a document with several labels counts for each; with one class or none among the labels every score is the
-share of label 1 (0.5 without labels); repeated rows get the same score; extra columns are ignored; an empty table gives
-an empty result.
+share of label 1 (0.5 without labels); repeated rows get the same score; very long texts are read whole; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, fold_of
 
-BITS = 18
+BITS = 20
 LEVELS = 9
 RUN = re.compile(r"(.)\1{2,}")
 
@@ -51,7 +52,9 @@ def _code(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-_shapes = Memo(lambda sign: _code(shape(sign)))
+#: Codes of a sign: its shape's in the upper half, its lower-case word's in the lower one.
+_codes = Memo(lambda sign: _code(shape(sign)) << 32 | _code(sign.lower()), 200_000)
+HALF = np.uint64(32)
 
 
 def features(text: str) -> np.ndarray:
@@ -59,18 +62,21 @@ def features(text: str) -> np.ndarray:
     signs = [y for x in text.split() for y in (pieces(x) if len(x) > 16 else (x,))]
     n = len(signs)
     lines = [x for x in text.split("\n") if x]
-    extra = [_code(f"length {min(n, 4096).bit_length()}")]
+    extra = [_code(f"length {n.bit_length()}")]
     extra += [_code(f"twice {i}") for i in range(LEVELS) if len(lines) > 1 and (len(lines) - len(set(lines))) * 2**i >= len(lines)]
     if not n:
         return np.unique(np.array(extra, dtype=np.int64) & ((1 << BITS) - 1))
-    codes = np.fromiter(map(_shapes.__getitem__, signs), np.uint64, n)
+    codes = np.fromiter(map(_codes.__getitem__, signs), np.uint64, n)
+    words = (codes & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+    codes >>= HALF
     same = np.zeros(n, dtype=bool)
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(s, len(number)) for s in signs), np.int64, n)
     same[1:] = ids[1:] == ids[:-1]
     codes = (codes * np.uint64(2) + same) * np.uint64(0x9E3779B97F4A7C15)
     pairs = (codes[:-1] ^ (codes[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    parts = []
+    couples = (words[:-1] ^ (words[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    parts = [np.concatenate([words * np.uint64(0xFF51AFD7ED558CCD), couples * np.uint64(0xFF51AFD7ED558CCF)]) >> np.uint64(64 - BITS)]
     for grams in (codes, pairs):
         found, counts = np.unique(grams, return_counts=True)
         level = np.minimum(np.floor(np.log2(n / counts)), LEVELS).astype(np.int64)
@@ -106,7 +112,7 @@ def fit_margin(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epoch
         (p if y else q)[x] += 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(p == 1) & (q == 1)] = 0
-    values = [ratio[x] / max(1.0, np.sqrt(len(x))) for x in rows]
+    values = [(ratio[x] / max(1.0, np.sqrt(len(x)))).astype(np.float32) for x in rows]
     squares = np.array([v @ v for v in values]) + 1.0
     share = labels.mean()
     bound = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) * c  # both classes weigh alike
@@ -176,17 +182,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, sample: int
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = 12_000) -> Model:
-    """Fit on the driver from at most ``sample`` label rows' feature numbers (about 1 kB a row)."""
+    """Fit on the driver from at most ``sample`` label rows' feature numbers: 4 bytes for each distinct n-gram, about 3 kB a row.
+
+    Where ids repeat, a label meets several texts; at most twice ``sample`` of them teach, in the order of their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             feats = [features(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.binary())], names=["doc_id", "label", "feats"])
 
-    rows = labelled_sample(docs, labels, target, sample).mapInArrow(run, "doc_id long, label int, feats binary").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.feats)))
+    found = labelled_sample(docs, labels, target, sample).mapInArrow(run, "doc_id long, label int, feats binary")
+    rows = found.orderBy("doc_id", "label", "feats").limit(2 * sample).toArrow()
     order = np.random.default_rng(1).permutation(len(rows))
-    return fit([np.frombuffer(rows[i].feats, dtype="<i4") for i in order], np.array([rows[i].label for i in order]))
+    feats, taught = rows["feats"], np.array(rows["label"].to_pylist(), dtype=np.int64)
+    return fit([np.frombuffer(feats[i].as_py(), dtype="<i4") for i in order.tolist()], taught[order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
