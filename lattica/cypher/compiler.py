@@ -24,7 +24,7 @@ from .scope import Entry, Scope, State, fresh
 
 @dataclass
 class Settings:
-    max_hops: int = 100
+    max_hops: int | None = None  # unbounded paths end where nothing new is found; beyond a limit that is set they are an error
     recursion_rounds: int = 1000
     knn_default: int = 100
 
@@ -43,12 +43,23 @@ class Context:
     settings: Settings = field(default_factory=Settings)
     needs: dict = field(default_factory=dict)
     warnings: list = field(default_factory=list)
+    windows: dict = field(default_factory=dict)  # user window functions: name -> builder(columns, ordered, whole)
+    collations: dict = field(default_factory=dict)  # further names of collations
 
     @property
     def spark(self) -> SparkSession:
         return self.graph.spark
 
 
+#: Names of collations, and what Spark calls them.
+COLLATIONS = {"binary": "UTF8_BINARY", "nocase": "UTF8_LCASE", "lcase": "UTF8_LCASE", "unicode": "UNICODE", "unicode_ci": "UNICODE_CI", "unicode_ai": "UNICODE_AI"}
+
+
+def collation(name: str, more: dict[str, str]) -> str:
+    """Spark's collation of a registered or built-in name, or the name itself where it is one of Spark's."""
+    return more.get(name.lower()) or COLLATIONS.get(name.lower()) or name
+
+
 def walk(tree, visit) -> None:
     """Visit all tuples, lists and data classes of a tree."""
     visit(tree)
@@ -397,6 +408,8 @@ class Expressions:
         types = [] if star else [self.type(a) for a in args]
         literals = [a[1] if a[0] == "lit" else self.ctx.params.get(a[1]) if a[0] == "param" else None for a in args]
         keys = [values.order(self.column(e), self.type(e), down) for e, down in order]
+        if name in self.ctx.windows:
+            return self.ctx.windows[name](cols, *aggregate.windows([self.column(p) for p in partition], keys))
         return aggregate.window(name, cols, types, distinct, star, [self.column(p) for p in partition], keys, literals)
 
     def _fn(self, name, args, distinct):
@@ -431,6 +444,10 @@ class Expressions:
             return distance(self.column(args[0]), self.column(args[1]), metric)
         if name == "similar_to":
             return self._similar_to(args)
+        if name == "collate":
+            if args[1][0] != "lit":
+                raise CompileError("a collation is named by a literal")
+            return F.collate(self.column(args[0]), collation(args[1][1], self.ctx.collations))
         if name == "nodes" and args[0][0] == "var":
             return self.column(args[0])["nodes"]
         if name in aggregate.AGGREGATES or name in ctx.aggregates:

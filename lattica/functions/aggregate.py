@@ -64,13 +64,21 @@ def build(name: str, args: list[Column], types: list[T.DataType], distinct: bool
     raise CompileError(f"unknown aggregate {name}")
 
 
+def windows(partition: list[Column], order: list[Column]):
+    """The window up to a row, and that over its whole partition."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
+    ordered = w.orderBy(*order) if order else w.orderBy(F.lit(1))
+    return ordered, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def window(name: str, args: list[Column], types: list[T.DataType], distinct: bool, star: bool, partition: list[Column], order: list[Column], literals: list) -> Column:
     """A call with OVER; last_value and nth_value see the whole partition."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
-    ordered = w.orderBy(*order) if order else w.orderBy(F.lit(1))
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered, whole = windows(partition, order)
     if name in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist"):
         return getattr(F, name)().over(ordered)
     if name in ("lag", "lead"):

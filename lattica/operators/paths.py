@@ -6,17 +6,21 @@ the endpoints count, visited pairs are dropped level by level, and no path is en
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cypher import ast as A
 from ..cypher.scope import Entry, State, fresh
-from ..errors import CompileError
+from ..errors import CompileError, IterationLimit
 from ..storage import keep
 
 LAZY_LEVELS = 3
+#: Written levels that are read one by one before they are written as one table.
+LEVELS_APART = 16
 NODE_T = "struct<_vid:bigint,_labels:array<string>,_props:map<string,string>>"
 REL_T = "struct<_eid:bigint,_src:bigint,_dst:bigint,_type:string>"
 
@@ -25,6 +29,24 @@ def _node(vid: Column, labels: Column | None = None, props: Column | None = None
     return F.struct(vid.alias("_vid"), (labels if labels is not None else F.lit(None).cast("array<string>")).alias("_labels"), (props if props is not None else F.lit(None).cast("map<string,string>")).alias("_props"))
 
 
+def hops(high: int | None, settings) -> Iterator[int]:
+    """Levels from 1 to ``high``; without it they end with the caller, or are an error beyond a limit that is set."""
+    if high is not None:
+        yield from range(1, high + 1)
+        return
+    for level in count(1):
+        if settings.max_hops is not None and level > settings.max_hops:
+            raise IterationLimit(f"paths go on beyond {settings.max_hops} hops")
+        yield level
+
+
+def gather(parts: list[DataFrame], name: str) -> DataFrame:
+    """The union of written levels; many of them become one table."""
+    if len(parts) >= LEVELS_APART:
+        parts[:] = [keep(reduce(DataFrame.unionAll, parts), name)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def variable_length(planner, state: State, node, rel, other, forward: bool, used: list, path, insensitive: bool, hints: dict):
     """Bind the far node (and lists of relationships and nodes) of ``-[*low..high]-``."""
     ctx = planner.ctx
@@ -38,7 +60,7 @@ def variable_length(planner, state: State, node, rel, other, forward: bool, used
     full_nodes = bool(path.var and "*" in planner.needs(path.var))
     if insensitive and not wants_list and low <= 1 and not used:
         return reach(planner, state, start.ident, edges, a, b, other, low, high), (None, None)
-    cap = high if high is not None else ctx.settings.max_hops
+    written = high is None or high > LAZY_LEVELS
     cur, eids, rels, inner = fresh("n"), fresh("eids"), fresh("rels"), fresh("nodes")
     frame = state.df.withColumns({cur: F.col(start.ident), eids: F.array().cast("array<bigint>"), rels: F.array().cast(f"array<{REL_T}>"), inner: F.array().cast(f"array<{NODE_T}>")})
     base_columns = state.df.columns
@@ -48,10 +70,15 @@ def variable_length(planner, state: State, node, rel, other, forward: bool, used
         step_edges = step_edges.join(nodes.select(F.col(e.ident).alias("_nid"), planner.node_struct(e).alias("_node")), F.col("_next") == F.col("_nid")).drop("_nid")
     else:
         step_edges = step_edges.withColumn("_node", _node(F.col("_next")))
-    step_edges = keep(step_edges, "edges") if cap > LAZY_LEVELS else step_edges
+    step_edges = keep(step_edges, "edges") if written else step_edges
     levels = [frame] if low == 0 else []
     earlier = [(kind, c) for kind, c, types in used if not (types and rel.types and not types & set(rel.types))]
-    for level in range(1, cap + 1):
+    sources = None
+    for level in hops(high, ctx.settings):
+        if path.mode == "walk" and high is None and level > 2 * LEVELS_APART:
+            sources = sources or step_edges.select(a).distinct().count()
+            if level - 1 > sources:  # it left some vertex twice
+                raise IterationLimit("walks without an upper bound don't end on a cycle")
         nxt = frame.join(step_edges, F.col(cur) == F.col(a))
         if path.mode != "walk":
             nxt = nxt.where(~F.array_contains(eids, F.col("_id")))
@@ -60,14 +87,12 @@ def variable_length(planner, state: State, node, rel, other, forward: bool, used
         for kind, c in earlier:
             nxt = nxt.where(F.col(c) != F.col("_id") if kind == "one" else ~F.array_contains(c, F.col("_id")))
         frame = nxt.select(*base_columns, F.col("_next").alias(cur), F.array_append(eids, F.col("_id")).alias(eids), F.array_append(rels, F.col("_rel")).alias(rels), F.array_append(inner, F.col("_node")).alias(inner))
-        if cap > LAZY_LEVELS:
+        if written:
             frame = keep(frame, "hops")
             if level > 1 and frame.isEmpty():
                 break
         if level >= low:
             levels.append(frame)
-        if level == ctx.settings.max_hops and high is None:
-            ctx.warnings.append(f"paths are cut at {cap} hops")
     df = reduce(DataFrame.unionByName, levels) if levels else frame.limit(0)
     if not forward:  # the pattern was walked from its right end
         df = df.withColumns({rels: F.reverse(rels), inner: F.when(F.size(inner) > 0, F.concat(F.reverse(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))), F.array(_node(F.col(start.ident))))).otherwise(F.col(inner))})
@@ -82,23 +107,21 @@ def reach(planner, state: State, start: str, edges: DataFrame, a: str, b: str, o
     """Endpoints by breadth-first search; each (start, end) pair once."""
     pairs = keep(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct(), "edges")
     starts = state.df.select(F.col(start).alias("_s")).distinct()
-    frontier = seen = keep(starts.select("_s", F.col("_s").alias("_c")), "reach")
-    found = [seen] if low == 0 else []
-    first = None
-    for level in range(1, (high if high is not None else planner.ctx.settings.max_hops) + 1):
-        nxt = frontier.join(pairs, F.col("_c") == F.col("_a")).select("_s", F.col("_b").alias("_c")).distinct()
-        if low == 1:  # a start may be met again by a cycle, which must be told apart from having begun there
-            loops = nxt.where("_s = _c") if first is None else nxt.where("_s = _c").join(first, ["_s", "_c"], "left_anti")
-            loops = keep(loops, "loops")
-            first = loops if first is None else first.unionAll(loops)
-        frontier = keep(nxt.join(seen, ["_s", "_c"], "left_anti"), "reach")
+    frontier = keep(starts.select("_s", F.col("_s").alias("_c"), F.lit(0).alias("_k")), "reach")
+    parts = [frontier]
+    for level in hops(high, planner.ctx.settings):
+        nxt = frontier.join(pairs, F.col("_c") == F.col("_a")).select("_s", F.col("_b").alias("_c"), F.lit(level).alias("_k")).distinct()
+        frontier = keep(nxt.join(gather(parts, "reach"), ["_s", "_c"], "left_anti"), "reach")
         if frontier.isEmpty():
             break
-        seen = seen.unionAll(frontier)
-        found.append(frontier)
-    if low == 1 and first is not None:
-        found.append(first)
-    ends = reduce(DataFrame.unionAll, found) if found else seen.limit(0)
+        parts.append(frontier)
+    seen = gather(parts, "reach")
+    if low == 1:  # a start is an end only where an edge leads back to it
+        back = seen if high is None else seen.where(F.col("_k") < high)
+        loops = back.join(pairs, (F.col("_c") == F.col("_a")) & (F.col("_s") == F.col("_b"))).select("_s", F.col("_s").alias("_c")).distinct()
+        ends = seen.where("_k > 0").select("_s", "_c").unionAll(loops)
+    else:
+        ends = seen.select("_s", "_c")
     c, k = fresh("n"), fresh("k")
     df = state.df.join(ends.select(F.col("_s").alias(k), F.col("_c").alias(c)), F.col(start) == F.col(k)).drop(k)
     return planner.arrive(State(df, state.scope), other, c, [])
@@ -145,7 +168,7 @@ def _hidden(y):
 
 def _group(planner, state: State, before, group, inner, after, used, lists) -> State:
     ctx = planner.ctx
-    cap = group.high if group.high is not None else ctx.settings.max_hops
+    written = group.high is None or group.high > LAZY_LEVELS
     cur, eids = fresh("n"), fresh("eids")
     named = {y.var: fresh("g") for y in inner if y.var}
     start = state.scope[before.var]
@@ -155,7 +178,7 @@ def _group(planner, state: State, before, group, inner, after, used, lists) -> S
     levels = [frame] if group.low == 0 else []
     for v in [y.var for y in inner if y.var]:
         planner.ctx.needs.setdefault(v, set()).add("*")
-    for level in range(1, cap + 1):
+    for level in hops(group.high, ctx.settings):
         scope = {"_at": Entry("node", cur)}
         sub = [A.NodePat("_at" if i == 0 else (y.var or fresh("_n")), y.labels, y.props, y.where) if isinstance(y, A.NodePat) else A.RelPat(y.var or fresh("_r"), y.types, y.direction, y.low, y.high, y.variable, y.props, y.where) for i, y in enumerate(inner)]
         st = State(frame, scope)
@@ -175,7 +198,7 @@ def _group(planner, state: State, before, group, inner, after, used, lists) -> S
                 grown[named[y.var]] = F.array_append(named[y.var], planner.node_struct(e) if isinstance(y, A.NodePat) else planner.rel_struct(e))
         new_ids = [F.col(st.scope[sub[i].var].ident) for i in range(1, len(sub), 2)]
         frame = st.df.select(*base, F.col(st.scope[sub[-1].var].ident).alias(cur), F.concat(F.col(eids), F.array(*new_ids)).alias(eids), *[grown[c].alias(c) for c in named.values()])
-        if cap > LAZY_LEVELS:
+        if written:
             frame = keep(frame, "groups")
             if frame.isEmpty():
                 break
@@ -198,7 +221,6 @@ def shortest(planner, path, elements, state: State, hints: dict) -> State:
         return _k_shortest(planner, path, left, rel, right, state)
     low = rel.low if rel.variable else 1
     high = rel.high if rel.variable else 1
-    cap = high if high is not None else planner.ctx.settings.max_hops
     s, t = state.scope[left.var].ident, state.scope[right.var].ident
     edges, entry, a, b, _ = planner.edge_frame(rel, True, (), [])
     edges = planner.rel_filters(rel, entry, edges, {})
@@ -206,18 +228,18 @@ def shortest(planner, path, elements, state: State, hints: dict) -> State:
     pairs = keep(state.df.select(F.col(s).alias("_s"), F.col(t).alias("_t")).distinct().where("_s is not null and _t is not null"), "pairs")
     rel_list, node_list = F.array().cast(f"array<{REL_T}>"), F.array().cast(f"array<{NODE_T}>")
     frontier = pairs.select("_s").distinct().select("_s", F.col("_s").alias("_c"), rel_list.alias("_rels"), node_list.alias("_nodes"))
-    seen = frontier.select("_s", "_c")
+    parts = [frontier.select("_s", "_c")]
     found = [frontier.where("_s = _c").join(pairs.where("_s = _t").select("_s"), "_s", "left_semi").select("_s", "_c", "_rels", "_nodes")] if low == 0 else []
     open_pairs = pairs.where("_s <> _t")
-    for _ in range(cap):
+    for _ in hops(high, planner.ctx.settings):
         nxt = frontier.join(steps, F.col("_c") == F.col("_a")).select("_s", F.col("_b").alias("_c"), F.array_append("_rels", F.col("_rel")).alias("_rels"), F.array_append("_nodes", _node(F.col("_b"))).alias("_nodes"))
-        nxt = nxt.join(seen, ["_s", "_c"], "left_anti")
+        nxt = nxt.join(gather(parts, "seen"), ["_s", "_c"], "left_anti")
         if path.selector == "shortest":  # of paths of equal length the least by relationship ids
             nxt = nxt.groupBy("_s", "_c").agg(F.min_by(F.struct("_rels", "_nodes"), F.transform("_rels", lambda r: r["_eid"])).alias("p")).select("_s", "_c", "p._rels", "p._nodes")
         frontier = keep(nxt, "bfs")
         if frontier.isEmpty():
             break
-        seen = keep(seen.unionAll(frontier.select("_s", "_c")).distinct(), "seen")
+        parts.append(frontier.select("_s", "_c").distinct())
         found.append(frontier.join(open_pairs.select("_s", F.col("_t").alias("_c")), ["_s", "_c"], "left_semi").select("_s", "_c", "_rels", "_nodes"))
         open_pairs = keep(open_pairs.join(frontier.select("_s", F.col("_c").alias("_t")), ["_s", "_t"], "left_anti"), "open")
         if open_pairs.isEmpty():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,16 @@ def spark_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+@dataclass(frozen=True)
+class CommitEvent:
+    """A commit: its number, the labels and edge types whose tables it replaced, and when."""
+
+    version: int
+    labels: frozenset[str]
+    edge_types: frozenset[str]
+    time: float
+
+
 class Session:
     """One graph, its registered functions, and the statements run on it."""
 
@@ -44,6 +55,10 @@ class Session:
         self.variables: dict = {}
         self.rules: dict = {}
         self.jobs: list = []
+        self.windows: dict = {}
+        self.collations: dict[str, str] = {}
+        self.watchers: list = []
+        self.version = 0
 
     def context(self, params: dict | None = None) -> Context:
         from .operators import admin  # noqa: F401 - registers its procedures
@@ -52,6 +67,7 @@ class Session:
         known = {**{f"session.{k}": v for k, v in self.variables.items()}, **(params or {})}
         self.warnings = []
         ctx = Context(self.graph, known, self.functions, self.macros, self.aggregates, {**PROCEDURES, **self.procedures}, settings=self.settings, warnings=self.warnings)
+        ctx.windows, ctx.collations = self.windows, self.collations
         ctx.session = self
         return ctx
 
@@ -103,9 +119,36 @@ class Session:
             for trigger in self.triggers:
                 trigger.fire(events, "before_commit", self)
         self.graph = work
+        self.version += 1
         if self.triggers:
             for trigger in self.triggers:
                 trigger.fire(events, "after_commit", self)
+        self.notify(work, before)
+
+    def watch(self, callback: Callable, labels: set[str] | None = None, edge_types: set[str] | None = None) -> Callable[[], None]:
+        """Tell ``callback`` of commits (a :class:`CommitEvent`) that touch the labels or edge types; gives a function that ends it.
+
+        It is told after the commit and as well as may be: its errors are warnings of the session and undo nothing.
+        """
+        entry = (callback, labels, edge_types)
+        self.watchers.append(entry)
+        return lambda: self.watchers.remove(entry) if entry in self.watchers else None
+
+    def notify(self, work: Graph, before) -> None:
+        labels = {n for n in {*before[0], *work.nodes} if before[0].get(n) is not work.nodes.get(n)}
+        types = {n for n in {*before[1], *work.edges} if before[1].get(n) is not work.edges.get(n)}
+        for callback, wanted_labels, wanted_types in list(self.watchers):
+            everything = wanted_labels is None and wanted_types is None
+            if everything or labels & (wanted_labels or set()) or types & (wanted_types or set()):
+                try:
+                    callback(CommitEvent(self.version, frozenset(labels), frozenset(types), time.time()))
+                except Exception as error:  # noqa: BLE001 - a watcher must not undo a commit
+                    self.warnings.append(f"a watcher failed: {error}")
+
+    def drain(self) -> None:
+        """Run what eventual triggers have waiting, and wait for asynchronous ones."""
+        for trigger in self.triggers:
+            trigger.drain()
 
     def read_only(self, text: str, **params) -> DataFrame:
         """A query that must not write."""
@@ -149,8 +192,27 @@ class Session:
         """A branch: it shares tables until either side writes."""
         out = Session(self.graph.copy(), self.settings)
         out.functions, out.macros, out.aggregates, out.procedures = self.functions, self.macros, self.aggregates, self.procedures
+        out.windows, out.collations = self.windows, self.collations
         return out
 
+    def diff(self, other: Session) -> DataFrame:
+        """What must happen to this session's graph to become the other's; see :mod:`lattica.operators.forks`."""
+        from .operators.forks import diff
+
+        return diff(self.graph, other.graph)
+
+    def promote(self, fork: Session, patterns: list[dict]):
+        """Copy a fork's vertices and edges that are new here; gives the report."""
+        from .operators.forks import promote
+
+        return promote(self, fork, patterns)
+
+    def transaction(self, serializable: bool = True):
+        """A transaction over this session's graph; see :mod:`lattica.transactions`."""
+        from .transactions import Transaction
+
+        return Transaction(self, serializable)
+
     # --- extensions ---------------------------------------------------------------------------------------------
     def register_function(self, name: str, builder: Callable) -> None:
         """A scalar function: ``builder(columns, types)`` gives a column (native expression or pandas UDF call)."""
@@ -165,6 +227,14 @@ class Session:
         """An aggregate: ``builder(columns)`` gives an aggregate column."""
         self.aggregates[name.lower()] = builder
 
+    def register_window(self, name: str, builder: Callable) -> None:
+        """A window function: ``builder(columns, ordered, whole)`` gives a column over the ordered or the whole partition."""
+        self.windows[name.lower()] = builder
+
+    def register_collation(self, name: str, collation: str) -> None:
+        """A name for one of Spark's collations, for ``collate(text, name)``."""
+        self.collations[name.lower()] = collation
+
     def register_procedure(self, name: str, function: Callable) -> None:
         """A table function: ``function(context, args)`` gives a DataFrame."""
         self.procedures[name.lower()] = function

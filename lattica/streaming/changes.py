@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,11 @@ def changes_between(before, graph) -> DataFrame:
 
 @dataclass
 class Trigger:
-    """A callback on events, in a phase; before_commit may veto by raising or returning False."""
+    """A callback on events, in a phase; before_commit may veto by raising or returning False.
+
+    After a commit it runs at once (``sync``), on a thread (``async``), or when the session drains (``eventual``); errors of a thread
+    are raised by the drain.
+    """
 
     name: str
     callback: Callable
@@ -51,6 +56,8 @@ class Trigger:
     kinds: set[int] = field(default_factory=lambda: set(range(1, 7)))
     labels: set[str] | None = None
     predicate: str | None = None
+    mode: str = "sync"
+    waiting: list = field(default_factory=list)
 
     def fire(self, events: DataFrame, phase: str, session) -> None:
         if phase != self.phase:
@@ -60,11 +67,34 @@ class Trigger:
             own = own.where(F.col("label").isin(sorted(self.labels)))
         if self.predicate:
             own = own.where(self.predicate)
+        if self.mode == "eventual" and phase == "after_commit":
+            self.waiting.append(own)
+            return
+        if self.mode == "async" and phase == "after_commit":
+            self.waiting.append(_threads().submit(self.run, own))
+            return
         if own.isEmpty():
             return
         if self.callback(own) is False and phase == "before_commit":
             raise ConstraintError(f"trigger {self.name} refused the commit")
 
+    def run(self, events: DataFrame) -> None:
+        if not events.isEmpty():
+            self.callback(events)
+
+    def drain(self) -> None:
+        while self.waiting:
+            found = self.waiting.pop(0)
+            if isinstance(found, DataFrame):
+                self.run(found)
+            else:
+                found.result()
+
+
+@cache
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(max_workers=4, thread_name_prefix="trigger")
+
 
 class ChangeLog:
     """Every commit's events as a numbered folder of Parquet files; a file stream reads them in order."""
