@@ -6,6 +6,7 @@ full text (document frequency, mean length) are aggregations over the label's wh
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog import LABELS, VID
 from ..errors import CompileError
 from ..functions.scalar import cosine, distance, similarity
+from ..storage import keep
 
 K1, B = 1.2, 0.75
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -38,18 +40,29 @@ def analyse(text: Column, tokenizer: str = "simple", lower: bool = True, stop: b
     return F.transform(terms, lambda t: F.regexp_replace(t, r"(?<=\w{3})(ings|ing|edly|ed|es|s|ly)$", "")) if stem else terms
 
 
+def _occurrences(terms: str, word: str) -> Column:
+    return F.size(F.filter(terms, lambda t: t == word))
+
+
 def bm25(docs: DataFrame, text: Column, query: str, **analyzer) -> DataFrame:
-    """(_vid, score) of the rows of ``docs`` (with _vid) that hold a term of the query."""
+    """(_vid, score) of the rows of ``docs`` (with _vid) that hold a term of the query.
+
+    Texts are read once: a row's length and the counts of the query's terms are written, statistics are one aggregation over
+    that table, and a score adds the terms in the query's order, so it doesn't depend on the partitions.
+    """
     spark = docs.sparkSession
+    wanted = spark.range(1).select(F.array_distinct(analyse(F.lit(query), **analyzer))).first()[0]
+    if not wanted:
+        return docs.select(VID, F.lit(0.0).alias("score")).limit(0)
     terms = docs.select(VID, analyse(text, **analyzer).alias("terms")).where("terms is not null")
-    wanted = spark.range(1).select(F.explode(F.array_distinct(analyse(F.lit(query), **analyzer))).alias("term"))
-    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    # only the query's terms leave a document; the query is a few rows
-    hits = terms.select(VID, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(F.broadcast(wanted), "term").groupBy(VID, "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(VID).agg(F.sum(part).alias("score"))
+    tf = [_occurrences("terms", w).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    counted = keep(terms.select(VID, F.size("terms").alias("dl"), *tf), "bm25")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        n, df, tf = stats["n"], stats[f"df{i}"], F.col(f"tf{i}")
+        score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (stats["mean"] or 1.0)))
+    return counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0).select(VID, score.alias("score"))
 
 
 def _label(ctx, label: str) -> DataFrame:
@@ -109,13 +122,13 @@ def maxsim_query(ctx, df: DataFrame, prop: str, query, k) -> DataFrame:
 
 
 def fts_query(ctx, args) -> DataFrame:
-    """label, property, text, k[, threshold]: BM25 divided by the best score."""
+    """label, property, text, k[, threshold]: BM25 divided by the best score; scores that agree in nine digits are ties."""
     label, prop, query, k = args[:4]
     threshold = args[4] if len(args) > 4 else None
     df = _label(ctx, label)
     scored = bm25(df, F.col(prop), query)
     best = scored.agg(F.max("score").alias("top"))
-    out = scored.crossJoin(F.broadcast(best)).select(VID, (F.col("score") / F.col("top")).alias("score"))
+    out = scored.crossJoin(F.broadcast(best)).select(VID, F.round(F.col("score") / F.col("top"), 9).alias("score"))
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     top = out.orderBy(F.col("score").desc(), VID).limit(int(k))

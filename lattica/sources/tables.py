@@ -70,3 +70,21 @@ def trade_graph(spark: SparkSession, folder: str) -> Graph:
     forward = pairs.where(f"{SRC} < {DST}")
     g.add_edges("FLOWS", forward.select((F.col(SRC) * 100 + F.col(DST)).alias(EID), SRC, DST, ((F.col(SRC) + F.col(DST)) % 5 + 1).cast("double").alias("weight")), "Nation", "Nation")
     return g
+
+
+def referral_graph(spark: SparkSession, folder: str) -> Graph:
+    """Customers as vertices; REFERS joins the customer of an order to that of the order with the next key, about ten edges each.
+
+    It grows with ``orders``; parallel edges are one, of the least weight, loops are none. FOLLOWS are those to a greater key.
+    """
+    g = Graph(spark)
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    g.add_nodes("Customer", customers.select(F.col("c_custkey").cast("long").alias(VID), *customers.columns))
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    a = orders.select(F.col("o_orderkey").cast("long").alias(EID), F.col("o_custkey").cast("long").alias(SRC))
+    b = orders.select((F.col("o_orderkey").cast("long") - 1).alias("_next"), F.col("o_custkey").cast("long").alias(DST))
+    edges = a.join(b, F.col(EID) == F.col("_next")).where(F.col(SRC) != F.col(DST)).groupBy(SRC, DST).agg(F.min(EID).alias(EID), F.min((F.col(EID) % 5 + 1).cast("double")).alias("weight"))
+    edges = edges.select(EID, SRC, DST, "weight")
+    g.add_edges("REFERS", edges, "Customer", "Customer")
+    g.add_edges("FOLLOWS", edges.where(F.col(SRC) < F.col(DST)), "Customer", "Customer")
+    return g
