@@ -1,6 +1,12 @@
 """The corpus pipeline: toxicity, quality rules, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again for the next one.
+
+Defined cases, of every stage: an empty table gives an empty one; all columns are kept, whatever their names, but the last
+stage's rows are pieces; very long texts are taken whole. A null or empty text has no term and no neighbour (toxicity: the score
+of texts without one), fails the quality rules, so it reaches no later stage of a run, is a class of its own among
+near-duplicates, and packs as its end id alone. Null ids, languages and sources stay; a null source is the empty host.
+Repeated rows share each verdict, and one of them is left by the near-duplicates; of texts of one class the least id stays.
 """
 
 from __future__ import annotations

@@ -91,7 +91,10 @@ def _node(df: DataFrame) -> Column:
 
 
 def vector_query(ctx, args) -> DataFrame:
-    """label, property, query vector, k[, filter][, threshold][, options]: the k nearest; threshold is a greatest distance."""
+    """label, property, query vector, k[, filter][, threshold][, options]: the k nearest; threshold is a greatest distance.
+
+    All rows are compared, but where the option ``nprobes`` asks for that many cells of the property's index.
+    """
     label, prop, query, k = args[:4]
     condition, threshold, options = (args[4:] + [None] * 3)[:3]
     if isinstance(condition, dict) and options is None and ({"metric", "reranker"} & set(condition)):
@@ -101,7 +104,12 @@ def vector_query(ctx, args) -> DataFrame:
     df = _filtered(ctx, _label(ctx, label), condition).where(F.col(prop).isNotNull())
     q = F.array(*[F.lit(float(x)) for x in query]) if not isinstance(query[0], (list, tuple)) else None
     if q is None:
+        if options.get("muvera"):
+            df = muvera_candidates(df, prop, query, int(k) * int(options.get("over_fetch", 10)))
         return maxsim_query(ctx, df, prop, query, k)
+    if options.get("nprobes") and (cells := indexed_cells(ctx, label, prop, metric)) is not None:
+        near = cells.candidates([float(x) for x in query], int(options["nprobes"])).select(F.col(VID).alias("_near"))
+        df = df.join(near, F.col(VID) == F.col("_near"), "left_semi")
     scored = df.withColumn("distance", distance(F.col(prop), q, metric))
     if threshold is not None:
         scored = scored.where(F.col("distance") <= threshold)
@@ -110,12 +118,33 @@ def vector_query(ctx, args) -> DataFrame:
     return out
 
 
+def indexed_cells(ctx, label: str, prop: str, metric: str):
+    """The cells of an index over the label's present table, if there is one of that metric."""
+    for index in ctx.graph.indexes:
+        cells = index.get("cells")
+        if cells is not None and index["label"] == label and index["props"][0] == prop and cells.metric == metric and cells.source is ctx.graph.nodes.get(label):
+            return cells
+    return None
+
+
 def maxsim(doc: Column, query: list[list[float]]) -> Column:
     """Sum over the query's vectors of their best cosine with one of the document's."""
     parts = [F.array_max(F.transform(doc, lambda d, v=v: cosine(d, F.array(*[F.lit(float(x)) for x in v])))) for v in query]
     return reduce(lambda a, b: a + b, parts)
 
 
+def muvera_candidates(df: DataFrame, prop: str, query, fetch: int) -> DataFrame:
+    """The ``fetch`` rows whose fixed encodings have the greatest product with the query's."""
+    from ..functions.scalar import dot
+    from .ann import fixed_encoding
+
+    size = len(query[0])
+    one = df.sparkSession.createDataFrame([([[float(x) for x in v] for v in query],)], "q array<array<double>>").select(fixed_encoding(F.col("q"), size, query=True).alias("e")).first()[0]
+    encoded = df.select(VID, fixed_encoding(F.col(prop).cast("array<array<double>>"), size).alias("_e"))
+    best = encoded.orderBy(dot(F.col("_e"), F.array(*[F.lit(x) for x in one])).desc(), VID).limit(fetch).select(F.col(VID).alias("_near"))
+    return df.join(best, F.col(VID) == F.col("_near"), "left_semi")
+
+
 def maxsim_query(ctx, df: DataFrame, prop: str, query, k) -> DataFrame:
     scored = df.withColumn("score", maxsim(F.col(prop), query)).orderBy(F.col("score").desc(), VID).limit(int(k))
     return scored.select(F.col(VID).alias("vid"), (-F.col("score")).alias("distance"), "score", F.col("score").alias("rerank_score"), _node(df))

@@ -156,7 +156,17 @@ def index_ddl(g, verb: str, a: dict) -> None:
         g.indexes[:] = [i for i in g.indexes if i["name"] != a["name"]]
     else:
         name = a["name"] or f"{a['label']}_{'_'.join(a['props'])}"
-        g.indexes.append({"name": name, "label": a["label"], "props": a["props"], "index_kind": a["index_kind"]})
+        options = literal_map(a.get("options"))
+        g.indexes.append({"name": name, "label": a["label"], "props": a["props"], "index_kind": a["index_kind"], "options": options})
+        if a["index_kind"] == "vector" and str(options.get("type", "flat")).lower() != "flat":
+            from ..operators.ann import build_cells
+
+            g.indexes[-1]["cells"] = build_cells(g.nodes[a["label"]], a["props"][0], int(options.get("partitions", 64)), options.get("metric", "cosine"))
+
+
+def literal_map(tree) -> dict:
+    """The literal values of a map expression's tree; other entries are left out."""
+    return {k: v[1] for k, v in tree[1] if v[0] == "lit"} if tree and tree[0] == "map" else {}
 
 
 def constraint_ddl(g, verb: str, a: dict) -> None:
