@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,11 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.lattica.shared.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + _temporary()
         spark.conf.set("spark.lattica.shared.dir", path)
     return path.rstrip("/")
 
 
+def _temporary() -> str:
+    """A folder of this process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,13 +48,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that :func:`materialise` or a writer made."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,6 +93,13 @@ class Memo(dict):
         return value
 
 
+def release() -> None:
+    """Give back what Arrow holds of batches that are gone; workers are used again by later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 @functools.cache
 def fs_of(uri: str):
     """(pyarrow filesystem, base path) of a URI or an absolute path."""

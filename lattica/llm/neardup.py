@@ -23,7 +23,8 @@ Components grow by alternating min-label steps over written tables; nothing is c
 
 Defined cases: null and empty texts form no group (each row its own class); a text with one to four words is one k-mer of
 them all; rows with the same id and text fall into one class; null ids keep their rows and rank last as
-representatives; extra columns are kept by ``keep_one``; empty tables give empty results.
+representatives; ties of the least id go to the lesser text hash; very long texts are sketched and aligned whole, a band at a
+time; extra columns are kept by ``keep_one``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -361,7 +362,7 @@ def exact_candidates(apart: DataFrame, texts: DataFrame, similarity: float, samp
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, picks: int = 3, rounds: int = 3, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, class_id, is_kept) of each row: the class's least doc_id, and whether this row is the one that stays.
+    """(doc_id, text_hash, class_id, is_kept, has_words) of each row: the class's least doc_id, and whether this row is the one that stays.
 
     Rows that share the kept row's id and text are kept alike; ``keep_one`` leaves one of them. No ``rounds``: neither finer buckets nor the exact pass.
     """
@@ -391,7 +392,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 16
     classes = named.join(chosen, "root").select(F.col("word_key").alias("wk"), "chosen")
     joined = rows.select("doc_id", "text_hash", "word_key").join(classes, F.col("word_key") == F.col("wk"), "left")
     is_kept = F.col("chosen").isNull() | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
-    return joined.select("doc_id", "text_hash", F.when(F.col("chosen").isNull(), F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("class_id"), is_kept.alias("is_kept"))
+    return joined.select("doc_id", "text_hash", F.when(F.col("chosen").isNull(), F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("class_id"), is_kept.alias("is_kept"), F.col("word_key").isNotNull().alias("has_words"))
 
 
 def texts_of(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -405,9 +406,9 @@ def texts_of(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, id_col: st
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One row of each class, with all columns of ``docs``; rows without words all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).where("is_kept")
-    row_id, row_hash, bare, kept_id, kept_hash = (output_name(docs, f"_{n}") for n in ("row_id", "row_hash", "bare", "kept_id", "kept_hash"))
-    kept = found.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
+    row_id, row_hash, kept_id, kept_hash, worded = (output_name(docs, f"_{n}") for n in ("row_id", "row_hash", "kept_id", "kept_hash", "worded"))
+    kept = found.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash), F.col("has_words").alias(worded)).distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumns({row_id: docs[id_col].cast("long"), row_hash: F.xxhash64(text), bare: ~text.rlike(r"(?U)\w")})
-    joined = marked.join(kept, F.col(row_id).eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash)), "left_semi")
-    return joined.where(~F.col(bare)).dropDuplicates([row_id, row_hash]).unionAll(joined.where(bare)).select(docs.columns)
+    marked = docs.withColumns({row_id: docs[id_col].cast("long"), row_hash: F.xxhash64(text)})
+    joined = marked.join(kept, F.col(row_id).eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash)))
+    return joined.where(worded).dropDuplicates([row_id, row_hash]).unionAll(joined.where(~F.col(worded))).select(docs.columns)

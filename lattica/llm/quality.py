@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, output_name
+from .common import materialise, output_name, release
 
 WORDS = re.compile(r"[^ \t-\r]+")
 #: White space of str.split() that doesn't part words here.
@@ -97,6 +97,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 own = list(zip(*rows, strict=True))
                 columns = [own[0], *(c.slice(a, 256) for c in (keys, hosts, hashes)), *own[1:]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            del batch, keys, hosts, hashes
+            release()
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(docs[id_col].cast("long").alias("key"), text.alias("value"), F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"))

@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import labelled_sample, logistic
-from .common import WORD, Memo, materialise
+from .common import WORD, Memo, materialise, release
 
 BLOCK = 128
 
@@ -56,7 +57,7 @@ class Vectors:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.heads = {t[1:4] for t in terms if t[0] == "^"}
-        self.of_run = Memo(self._run, 150_000)
+        self.of_run = Memo(self._run, 100_000)
 
     def _run(self, run: str) -> tuple[tuple[int, ...], bytes]:
         words = (run,) if run.isalnum() else WORD.findall(run)
@@ -83,27 +84,31 @@ def word_counts(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Whole:
-    """TF-IDF over all words of the examples, numbered from the rarest on; words are 64-bit hashes."""
+    """TF-IDF over all words of the examples, numbered from the rarest on; words are 64-bit hashes.
 
-    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, near: float):
-        n = len(texts)
+    Postings hold an example and a count in six bytes; weights are made of them when they are read.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int, near: float):
+        """``words`` and ``counts`` of all examples one after the other, ``sizes`` words each."""
+        n = len(sizes)
         self.n, self.k, self.near = n, k, near
-        every = np.concatenate([h for h, _ in texts]) if n else np.zeros(0, np.uint64)
-        self.words, term, df = np.unique(every, return_inverse=True, return_counts=True)
+        self.words, term, df = np.unique(words, return_inverse=True, return_counts=True)
         order = np.lexsort((self.words, df))
-        self.number = np.empty(len(order), dtype=np.int64)
-        self.number[order] = np.arange(len(order))
+        self.number = np.empty(len(order), dtype=np.int32)
+        self.number[order] = np.arange(len(order), dtype=np.int32)
         self.idf = np.log((n + 1) / (df[order] + 0.5)) + 1e-9
         self.unseen = float(np.log((n + 1) / 0.5))
-        sizes = np.array([len(h) for h, _ in texts], dtype=np.int64)
+        self.tf = np.r_[0.0, 1 + np.log(np.arange(1, 1 << 16))]
         self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        example = np.repeat(np.arange(n), sizes)
-        self.terms = self.number[term].astype(np.int32)
-        weight = (1 + np.log(np.concatenate([c for _, c in texts]) if n else np.zeros(0))) * self.idf[self.terms]
-        norm = np.sqrt(np.bincount(example, weight * weight, n))
-        self.weights = weight / norm[example]
-        by = np.lexsort((example, self.terms))
-        self.post_ids, self.post_weights = example[by].astype(np.int32), self.weights[by]
+        self.terms, self.counts = self.number[term], np.minimum(counts, (1 << 16) - 1).astype(np.uint16)
+        del term
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weight = self.tf[self.counts] * self.idf[self.terms]
+        self.norm = np.maximum(np.sqrt(np.bincount(example, weight * weight, n)), 1e-300)
+        del weight
+        by = np.argsort(self.terms, kind="stable")
+        self.post_ids, self.post_counts = example[by], self.counts[by]
         self.starts = np.searchsorted(self.terms[by], np.arange(len(order) + 1))
         self.slope, self.offset, self.constant = 8.0, -4.0, None
 
@@ -111,7 +116,7 @@ class Whole:
         """Numbers and weights of the known words, the rarest first; unknown ones count in the norm alone."""
         at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
         known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), dtype=bool)
-        numbers, tf = self.number[at[known]], 1 + np.log(counts)
+        numbers, tf = self.number[at[known]], self.tf[np.minimum(counts, len(self.tf) - 1)]
         w = tf[known] * self.idf[numbers]
         norm = np.sqrt((w * w).sum() + ((tf[~known] * self.unseen) ** 2).sum())
         by = np.argsort(numbers)
@@ -124,16 +129,17 @@ class Whole:
         if not len(w) or rest[0] < self.near - 1e-9:
             return np.zeros(0, np.int64), np.zeros(0)
         cut = int(np.argmax(rest <= 0.6 * self.near))  # those from here on add at most 0.6 * near
+        scaled = w * self.idf[terms]
         first, length = self.starts[terms[:cut]], self.starts[terms[:cut] + 1] - self.starts[terms[:cut]]
         at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-        sums = np.bincount(self.post_ids[at], np.repeat(w[:cut], length) * self.post_weights[at], self.n)
-        ids = np.flatnonzero(sums + rest[cut] >= self.near - 1e-9)
+        sums = np.bincount(self.post_ids[at], np.repeat(scaled[:cut], length) * self.tf[self.post_counts[at]], self.n)
+        ids = np.flatnonzero(sums >= (self.near - rest[cut] - 1e-9) * self.norm)
         ids = ids[ids != leave_out]
         sims = np.empty(len(ids))
         for i, e in enumerate(ids.tolist()):
             own = slice(self.ends[e], self.ends[e + 1])
             place = np.minimum(np.searchsorted(terms, self.terms[own]), len(terms) - 1)
-            sims[i] = (w[place] * self.weights[own])[terms[place] == self.terms[own]].sum()
+            sims[i] = (scaled[place] * self.tf[self.counts[own]])[terms[place] == self.terms[own]].sum() / self.norm[e]
         sims = np.round(sims, 9)
         ids, sims = ids[sims >= self.near], sims[sims >= self.near]
         by = np.lexsort((ids, -sims))[: self.k]
@@ -299,16 +305,19 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
                 rows.append((np.array(own, "<i4").tobytes(), np.array([counts[t] for t in own], "<i4").tobytes(), words.astype("<u8").tobytes(), n.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["doc_id", "label", "terms", "counts", "words", "times"])
 
-    found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary, words binary, times binary").toArrow()
-    columns = {c: found[c].to_pylist() for c in found.column_names}
-    del found
-    order = sorted(range(len(columns["doc_id"])), key=lambda i: (columns["doc_id"][i], columns["label"][i], columns["words"][i], columns["times"][i]))
-    array = lambda name, kind: [np.frombuffer(columns[name][i], kind) for i in order]
-    counts = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(array("terms", "<i4"), array("counts", "<i4"), strict=True)]
-    index = build(chosen, counts, [columns["doc_id"][i] for i in order], [columns["label"][i] for i in order], k)
-    words = list(zip(array("words", "<u8"), array("times", "<i4"), strict=True))
-    whole = index.whole = Whole(words, k, near)
-    votes = [(index.vote(*whole.nearest(*words[i], i)), index.labels[i]) for i, c in enumerate(counts) if not c]
+    found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary, words binary, times binary")
+    table = found.orderBy("doc_id", "label", "words", "times").toArrow().combine_chunks()
+    ids, taught = table["doc_id"].to_pylist(), table["label"].to_pylist()
+    flat = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    sizes = lambda name, width: pc.divide(pc.binary_length(table[name]), width).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes("terms", 4))[:-1]
+    counts = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(np.split(flat("terms", "<i4"), ends), np.split(flat("counts", "<i4"), ends), strict=True)] if ids else []
+    index = build(chosen, counts, ids, taught, k)
+    words, times, lengths = flat("words", "<u8"), flat("times", "<i4"), sizes("words", 8)
+    del table
+    whole = index.whole = Whole(words, times, lengths, k, near)
+    own = lambda i: slice(whole.ends[i], whole.ends[i + 1])
+    votes = [(index.vote(*whole.nearest(words[own(i)], times[own(i)], i)), index.labels[i]) for i, c in enumerate(counts) if not c]
     votes = [(v, label) for v, label in votes if v is not None]
     if len({label for _, label in votes}) == 2:
         whole.slope, whole.offset = logistic(np.array([v for v, _ in votes]), np.array([label for _, label in votes]))
@@ -343,6 +352,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             out = [judge_text(t) for a in range(0, len(batch), 256) for t in batch.column(1).slice(a, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], evidence)], names=["key", "score", "evidence"])
+            release()
 
     source = docs.select(docs[id_col].cast("long").alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("value"))
     return source.mapInArrow(run, "key long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>").withColumnRenamed("key", id_col)
@@ -365,5 +375,7 @@ def reject(docs: DataFrame, index: Index, threshold: float = 0.5, id_col: str =
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
             yield batch.filter(pa.array([low(t) for a in range(0, len(batch), 256) for t in texts.slice(a, 256).to_pylist()], pa.bool_()))
+            del texts
+            release()
 
     return docs.mapInArrow(run, docs.schema)

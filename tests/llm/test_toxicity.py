@@ -41,7 +41,8 @@ def test_whole_texts_meet_all_that_are_near():
     base = [text() for _ in range(200)]
     texts = base + [t[: len(t) // 2] + text()[:5] for t in base]
     hashed = lambda ws: toxicity.word_counts([toxicity.word_hash(w) for w in ws])
-    whole = toxicity.Whole([hashed(t) for t in texts], k=9, near=0.5)
+    parts = [hashed(t) for t in texts]
+    whole = toxicity.Whole(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]), np.array([len(h) for h, _ in parts]), k=9, near=0.5)
     df = Counter(w for t in texts for w in set(t))
     names = sorted(df)
 
