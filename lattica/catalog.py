@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -13,6 +14,54 @@ from .errors import CompileError
 VID, LABELS, EID, SRC, DST, TYPE = "_vid", "_labels", "_eid", "_src", "_dst", "_type"
 
 
+class Later:
+    """A table that is opened when it is first used."""
+
+    def __init__(self, make: Callable):
+        self.make, self.made = make, None
+
+    def get(self):
+        if self.made is None:
+            self.made = self.make()
+        return self.made
+
+
+class Tables(dict):
+    """Tables by name, some of them opened when they are first used; a copy opens none and shares what is opened later."""
+
+    def later(self, name: str, make: Callable) -> None:
+        super().__setitem__(name, Later(make))
+
+    def __getitem__(self, name):
+        found = super().__getitem__(name)
+        return found.get() if isinstance(found, Later) else found
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+    def __iter__(self):  # dict() and ** copy by this and __getitem__, so they get tables
+        return iter(list(super().keys()))
+
+    def keys(self):
+        return list(super().keys())
+
+    def values(self):
+        return [self[n] for n in self]
+
+    def items(self):
+        return [(n, self[n]) for n in self]
+
+    def copy(self) -> Tables:
+        out = Tables()
+        for name, found in super().items():
+            out.__setitem__(name, found)
+        return out
+
+    def opened(self) -> list:
+        """The tables that don't wait."""
+        return [t.made if isinstance(t, Later) else t for t in super().values() if not isinstance(t, Later) or t.made is not None]
+
+
 @dataclass(frozen=True)
 class EdgeTable:
     df: DataFrame
@@ -29,15 +78,15 @@ class Graph:
     """
 
     spark: SparkSession
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, EdgeTable] = field(default_factory=dict)
+    nodes: dict[str, DataFrame] = field(default_factory=Tables)
+    edges: dict[str, EdgeTable] = field(default_factory=Tables)
     constraints: list[dict] = field(default_factory=list)
     indexes: list[dict] = field(default_factory=list)
     projections: dict[str, tuple] = field(default_factory=dict)
     providers: list = field(default_factory=list)  # replacement scans: callable(name) -> DataFrame or None
 
     def copy(self) -> Graph:
-        return replace(self, nodes=dict(self.nodes), edges=dict(self.edges), constraints=list(self.constraints), indexes=list(self.indexes), projections=dict(self.projections))
+        return replace(self, nodes=self.nodes.copy(), edges=self.edges.copy(), constraints=list(self.constraints), indexes=list(self.indexes), projections=dict(self.projections))
 
     def add_nodes(self, label: str, df: DataFrame) -> Graph:
         """Register a label; any DataFrame with ``_vid`` will do, so an external source is a label too."""
@@ -54,6 +103,11 @@ class Graph:
         self.edges[type_] = EdgeTable(df, as_tuple(sources), as_tuple(targets))
         return self
 
+    def multi_labelled(self) -> bool:
+        """Whether vertices of some table have labels of their own; tables that wait to be opened have none."""
+        tables = self.nodes.opened() if isinstance(self.nodes, Tables) else self.nodes.values()
+        return any(LABELS in d.columns for d in tables)
+
     def resolve_label(self, label: str) -> DataFrame | None:
         if label in self.nodes:
             return self.nodes[label]
@@ -77,16 +131,16 @@ class Graph:
                 df = self.labelled(label)
                 if df is not None:
                     frames.append(df)
-                elif any(LABELS in d.columns for d in self.nodes.values()):
+                elif self.multi_labelled():
                     frames += [d.where(F.array_contains(LABELS, label)) for d in self.nodes.values() if LABELS in d.columns]
-            for label in [] if all(LABELS not in d.columns for d in self.nodes.values()) else groups[0]:
+            for label in groups[0] if self.multi_labelled() else []:
                 frames += [d.where(F.array_contains(LABELS, label)) for name, d in self.nodes.items() if name not in groups[0] and LABELS in d.columns and self.resolve_label(label) is not None]
         if not frames:
             return self.spark.createDataFrame([], f"{VID} long, {LABELS} array<string>")
         df = union_all(frames)
         for group in groups[1:]:
             df = df.where(F.arrays_overlap(LABELS, F.array(*[F.lit(x) for x in group])))
-        return df.dropDuplicates([VID]) if len(frames) > 1 and any(LABELS in d.columns for d in self.nodes.values()) else df
+        return df.dropDuplicates([VID]) if len(frames) > 1 and self.multi_labelled() else df
 
     def edge_tables(self, types: list[str]) -> list[tuple[str, EdgeTable]]:
         return [(t, self.edges[t]) for t in (types or self.edges) if t in self.edges]

@@ -318,7 +318,7 @@ class Planner:
         direction = rel.direction if forward or rel.direction == "both" else {"out": "in", "in": "out"}[rel.direction]
         frames, ends = [], []
         wanted = {x for g in to_labels for x in g}
-        multi = any(LABELS in d.columns for d in graph.nodes.values())
+        multi = graph.multi_labelled()
         for name, table in graph.edge_tables(rel.types):
             df = table.df.withColumn(TYPE, F.lit(name))
             for way in ("out", "in"):
@@ -371,7 +371,7 @@ class Planner:
                 known = state.scope[node.var]
             state = State(state.df.where(F.col(known.ident) == F.col(ident)), state.scope)
             return self.narrow(node, state)
-        implied = bool(ends) and all(e for e in ends) and all(all(set(e) <= set(g) for e in ends) for g in node.labels) and not any(LABELS in d.columns for d in self.ctx.graph.nodes.values())
+        implied = bool(ends) and all(e for e in ends) and all(all(set(e) <= set(g) for e in ends) for g in node.labels) and not self.ctx.graph.multi_labelled()
         names = tuple(sorted({x for e in ends for x in e})) if ends and all(ends) else ()
         if not (self.needs(node.var) or node.props or node.where) and (not node.labels or implied):
             return State(state.df, {**state.scope, node.var: Entry("node", ident, {}, None, tuple(node.labels[0]) if len(node.labels) == 1 else names)})

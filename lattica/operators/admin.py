@@ -170,11 +170,20 @@ def declare_trigger(ctx, args):
     kinds = {"CREATE": {1, 4}, "UPDATE": {2, 5}, "DELETE": {3, 6}}[m[1].upper()]
     session = ctx.session
 
+    # one statement for many changed rows: $vid is a row of $changed
+    text = "UNWIND $changed AS vid WITH vid " + re.sub(r"\$vid\b", "vid", body)
+
     def fire(events):
         others, session.triggers = session.triggers, []  # what a trigger writes fires no trigger
         try:
+            pending: list[int] = []
             for row in events.select("vid_or_eid").toLocalIterator():
-                session.query(body, vid=row.vid_or_eid)
+                pending.append(row.vid_or_eid)
+                if len(pending) == 10_000:
+                    session.query(text, changed=pending)
+                    pending = []
+            if pending:
+                session.query(text, changed=pending)
         finally:
             session.triggers = others
 

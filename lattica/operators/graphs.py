@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import DST, EID, LABELS, SRC, VID, Graph
 from ..errors import CompileError
 from ..storage import keep
 
-LOCAL_EDGES = 5_000_000
+LOCAL_EDGES = 1_000_000
 
 
 @dataclass
@@ -52,7 +53,7 @@ def project(graph: Graph, labels=None, types=None, weight: str | None = None) ->
     if weight and weight not in edges.columns:
         raise CompileError(f"edges have no property {weight}")
     edges = edges.select(F.col(SRC).alias("src"), F.col(DST).alias("dst"), (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("w"), F.col(EID).alias("eid"))
-    multi = any(LABELS in d.columns for d in graph.nodes.values())
+    multi = graph.multi_labelled()
     for end, column in ((SRC, "src"), (DST, "dst")):
         known = graph.endpoint_labels(types, end)
         if labels and (multi or known is None or not known <= set(labels)):
@@ -291,8 +292,6 @@ def peel(p: Projection) -> tuple[DataFrame, DataFrame]:
 
 def similar_vertices(p: Projection, metric: str = "JACCARD", cutoff: float = 0.1, top: int = 10) -> DataFrame:
     """(node1, node2, similarity): overlap of out-neighbour sets, the ``top`` best of each vertex."""
-    from pyspark.sql import Window
-
     out = keep(p.edges.select("src", "dst").distinct(), "edges")
     deg = out.groupBy("src").agg(F.count("*").alias("n"))
     pairs = out.select(F.col("src").alias("a"), "dst").join(out.select(F.col("src").alias("b"), "dst"), "dst").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
@@ -317,3 +316,49 @@ def pregel(p: Projection, initial, message, combine: Callable, update: Callable,
         if not changed:
             break
     return values
+
+
+def spanning_forest(p: Projection) -> DataFrame:
+    """(source, target, weight) of a least spanning forest: each round every component takes its least edge, by weight and then ends.
+
+    That order is total, so no round closes a cycle, and the number of components halves at least.
+    """
+    ends = p.edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.coalesce("w", F.lit(1.0)).alias("w"))
+    edges = keep(ends.groupBy("u", "v").agg(F.min("w").alias("w")), "forest-edges")
+    part = keep(p.ids.select("id", F.col("id").alias("c")).distinct(), "forest-parts")
+    chosen = []
+    while True:
+        cu, cv = part.select(F.col("id").alias("u"), F.col("c").alias("cu")), part.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+        edges = keep(edges.select("u", "v", "w").join(cu, "u").join(cv, "v").where("cu <> cv"), "forest-edges")
+        if edges.isEmpty():
+            break
+        edge = F.struct("w", "u", "v", "cu", "cv").alias("e")
+        sides = edges.select(F.col("cu").alias("c"), edge).unionAll(edges.select(F.col("cv").alias("c"), edge))
+        picked = keep(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "forest")
+        chosen.append(picked.select(F.col("u").alias("source"), F.col("v").alias("target"), F.col("w").alias("weight")))
+        roots = components(picked.select(F.col("cu").alias("a"), F.col("cv").alias("b")))
+        part = keep(part.join(roots, F.col("c") == F.col("node"), "left").select("id", F.coalesce("root", "c").alias("c")), "forest-parts")
+    return reduce(DataFrame.unionAll, chosen) if chosen else p.ids.limit(0).select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("weight"))
+
+
+def random_walks(p: Projection, length: int, per: int, starts: DataFrame, seed: int) -> DataFrame:
+    """(path): ``per`` walks of ``length`` steps from each start (id); an edge is taken in proportion to its weight.
+
+    A step is a join of the walks' ends with the edges, whose weights are laid end to end for each vertex; the draw is a hash of the
+    seed, start, walk and step, so it doesn't depend on partitions. A walk ends where no edge leaves.
+    """
+    w = Window.partitionBy("src")
+    along = w.orderBy("dst", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weights = p.edges.select("src", "dst", "eid", F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(0.0)).alias("w")).withColumn("any", F.sum("w").over(w) > 0)
+    laid = weights.withColumn("w", F.when(F.col("any"), F.col("w")).otherwise(F.lit(1.0))).withColumns({"hi": F.sum("w").over(along), "total": F.sum("w").over(w)})
+    edges = keep(laid.select("src", "dst", (F.col("hi") - F.col("w")).alias("lo"), "hi", "total"), "walk-edges")
+    live = starts.select(F.col("id").alias("at"), F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("walk"), F.array("id").alias("path"))
+    done = []
+    for step in range(length):
+        draw = F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(step)), F.lit(1 << 53)) / float(1 << 53)
+        drawn = live.withColumn("draw", draw)
+        taken = (F.col("at") == F.col("src")) & (F.col("draw") * F.col("total") >= F.col("lo")) & (F.col("draw") * F.col("total") < F.col("hi"))
+        moved = keep(drawn.join(edges, taken, "left"), "walks")
+        done.append(moved.where("dst is null").select("path"))
+        live = moved.where("dst is not null").select(F.col("dst").alias("at"), "start", "walk", F.array_append("path", F.col("dst")).alias("path"))
+    return reduce(DataFrame.unionAll, [*done, live.select("path")])

@@ -338,7 +338,7 @@ def max_matching(ctx, args):
 
 @procedure("uni.algo.mst")
 def mst(ctx, args):
-    return _rows(ctx, Q.spanning_forest(*_project(ctx, args, arg(args, 2)).local("mst")), "source long, target long, weight double")
+    return G.spanning_forest(_project(ctx, args, arg(args, 2)))
 
 
 @procedure("uni.algo.kShortestPaths")
@@ -356,9 +356,11 @@ def astar(ctx, args):
     p = G.project(ctx.graph, None, types, weight)
     _, edges = p.local("astar")
     prop = arg(args, 3)
-    ends = {x for a, b, *_ in edges for x in (a, b)}
     nodes = ctx.graph.scan_nodes([])
-    guess = {r[0]: float(r[1] or 0) for r in nodes.select(VID, prop).collect() if r[0] in ends} if prop and prop in nodes.columns else {}
+    guess = {}
+    if prop and prop in nodes.columns:  # of the vertices that have an edge, which are of checked size
+        ends = p.edges.select(F.explode(F.array("src", "dst")).alias("_e")).distinct()
+        guess = {r[0]: float(r[1] or 0) for r in nodes.select(VID, prop).join(ends, F.col(VID) == F.col("_e"), "left_semi").collect()}
     hit = Q.dijkstra(edges, args[0], args[1], guess=lambda v: guess.get(v, 0.0)).get(args[1])
     return _rows(ctx, [(hit[1], hit[0])] if hit else [], "path array<long>, cost double")
 
@@ -376,8 +378,12 @@ def elementary_circuits(ctx, args):
 
 @procedure("uni.algo.randomWalk", "uni.algo.gcwalks")
 def random_walk(ctx, args):
-    """Starts are dealt over tasks; each walk has a generator of its own, so results don't depend on partitions."""
+    """Walks by joins; those biased by a return or in-out factor are dealt over tasks that have the edges, which are of checked size."""
     p = _project(ctx, args)
+    if arg(args, 5, 1.0) == 1 and arg(args, 6, 1.0) == 1:
+        chosen = arg(args, 4)
+        starts = p.ids if chosen is None else ctx.spark.createDataFrame([(v,) for v in chosen], "id long")
+        return G.random_walks(p, arg(args, 2, 5), arg(args, 3, 1), starts, arg(args, 7, 0))
     ids, edges = p.local("randomWalk")
     length, per, starts, back, out, seed = arg(args, 2, 5), arg(args, 3, 1), arg(args, 4, ids), arg(args, 5, 1.0), arg(args, 6, 1.0), arg(args, 7, 0)
     shared = ctx.spark.sparkContext.broadcast(edges)

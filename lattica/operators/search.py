@@ -129,8 +129,12 @@ def indexed_cells(ctx, label: str, prop: str, metric: str):
 
 def maxsim(doc: Column, query: list[list[float]]) -> Column:
     """Sum over the query's vectors of their best cosine with one of the document's."""
-    parts = [F.array_max(F.transform(doc, lambda d, v=v: cosine(d, F.array(*[F.lit(float(x)) for x in v])))) for v in query]
-    return reduce(lambda a, b: a + b, parts)
+
+    def best(vector: list[float]) -> Column:
+        q = F.array(*[F.lit(float(x)) for x in vector])
+        return F.array_max(F.transform(doc, lambda d: cosine(d, q)))
+
+    return reduce(lambda a, b: a + b, map(best, query))
 
 
 def muvera_candidates(df: DataFrame, prop: str, query, fetch: int) -> DataFrame:

@@ -93,8 +93,8 @@ class Session:
         try:
             if isinstance(tree, A.Command):
                 return run_command(self, tree, params)
-            before = {**self.graph.nodes}, {**self.graph.edges}
             writes = is_write(tree)
+            before = (self.graph.nodes.copy(), self.graph.edges.copy()) if writes else None
             work = self.graph.copy() if writes else self.graph
             ctx = self.context(params)
             ctx.graph = work

@@ -6,10 +6,13 @@ all columns and the number of the copy, since no key of theirs is unique.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache, partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import DST, EID, SRC, VID, Graph
+from ..catalog import DST, EID, SRC, VID, EdgeTable, Graph
 
 TAGS = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "Document": 7, "Page": 8, "Vec": 9, "Benchmark": 10, "User": 11, "Event": 12, "Turn": 13}
 SHIFT = 1 << 40
@@ -27,35 +30,45 @@ def turn_vid() -> Column:
 
 
 def table_graph(spark: SparkSession, folder: str) -> Graph:
-    """Labels and edge types over ``<folder>/<table>.parquet``; nothing is read before a query runs."""
-    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    """Labels and edge types over ``<folder>/<table>.parquet``; a table is opened when a query first uses it."""
+    read = cache(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
     g = Graph(spark)
-    for label, name, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Document", "documents", "doc_id"), ("Page", "pages", "page_id"), ("Vec", "embeddings", "vec_id"), ("Benchmark", "benchmark", "item_id"), ("Event", "events", "event_id")):
+
+    def vertices(label: str, name: str, key: str) -> DataFrame:
         df = read(name)
-        g.add_nodes(label, df.select(vid(label, key).alias(VID), *df.columns))
-    g.add_nodes("User", read("events").select("user_id").distinct().select(vid("User", "user_id").alias(VID), "user_id"))
-
-    def link(type_: str, df: DataFrame, a: tuple[str, str], b: tuple[str, str], eid, props: list[str] = ()) -> None:
-        g.add_edges(type_, df.select(eid.alias(EID), vid(*a).alias(SRC), vid(*b).alias(DST), *props), a[0], b[0])
-
-    link("IN_REGION", read("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), F.col("n_nationkey").cast("long"))
-    link("PLACED", read("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), F.lit(2 * SHIFT) + F.col("o_orderkey"))
-    link("DID", read("events"), ("User", "user_id"), ("Event", "event_id"), F.lit(3 * SHIFT) + F.col("event_id"))
-    people = read("customer").select((F.lit(4 * SHIFT) + F.col("c_custkey")).alias(EID), vid("Customer", "c_custkey").alias(SRC), vid("Nation", "c_nationkey").alias(DST))
-    firms = read("supplier").select((F.lit(5 * SHIFT) + F.col("s_suppkey")).alias(EID), vid("Supplier", "s_suppkey").alias(SRC), vid("Nation", "s_nationkey").alias(DST))
-    g.add_edges("CUSTOMER_OF", people, "Customer", "Nation")
-    g.add_edges("SUPPLIER_OF", firms, "Supplier", "Nation")
-    g.add_edges("IN_NATION", people.unionAll(firms), ("Customer", "Supplier"), "Nation")
-    items = read("lineitem")
-    hashed = items.withColumn("_h", F.xxhash64(*items.columns))
-    numbered = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(1))))
-    g.add_edges("CONTAINS", numbered.select(F.xxhash64("_h", "_n").alias(EID), vid("Order", "l_orderkey").alias(SRC), vid("Part", "l_partkey").alias(DST), "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "Order", "Part")
-    supplied = items.select("l_partkey", "l_suppkey").distinct()
-    g.add_edges("SUPPLIED_BY", supplied.select((F.lit(7 * SHIFT) + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias(EID), vid("Part", "l_partkey").alias(SRC), vid("Supplier", "l_suppkey").alias(DST)), "Part", "Supplier")
-    talk = read("conversations").select("conv_id", "turn", "role", "text", turn_vid().alias(VID)).dropDuplicates(["conv_id", "turn"])
-    g.add_nodes("Turn", talk)
-    nxt = talk.select("conv_id", "turn", F.col(VID).alias(SRC)).join(talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col(VID).alias(DST)), ["conv_id", "turn"])
-    g.add_edges("NEXT", nxt.select(F.col(SRC).alias(EID), SRC, DST), "Turn", "Turn")
+        return df.select(vid(label, key).alias(VID), *df.columns)
+
+    for label, name, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Document", "documents", "doc_id"), ("Page", "pages", "page_id"), ("Vec", "embeddings", "vec_id"), ("Benchmark", "benchmark", "item_id"), ("Event", "events", "event_id")):
+        g.nodes.later(label, partial(vertices, label, name, key))
+    g.nodes.later("User", lambda: read("events").select("user_id").distinct().select(vid("User", "user_id").alias(VID), "user_id"))
+
+    def link(type_: str, a: tuple[str, str], b: tuple[str, str], rows: Callable[[], DataFrame], eid: Column, *props: str) -> None:
+        g.edges.later(type_, lambda: EdgeTable(rows().select(eid.alias(EID), vid(*a).alias(SRC), vid(*b).alias(DST), *props), (a[0],), (b[0],)))
+
+    link("IN_REGION", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), lambda: read("nation"), F.col("n_nationkey").cast("long"))
+    link("PLACED", ("Customer", "o_custkey"), ("Order", "o_orderkey"), lambda: read("orders"), F.lit(2 * SHIFT) + F.col("o_orderkey"))
+    link("DID", ("User", "user_id"), ("Event", "event_id"), lambda: read("events"), F.lit(3 * SHIFT) + F.col("event_id"))
+    people = lambda: read("customer").select((F.lit(4 * SHIFT) + F.col("c_custkey")).alias(EID), vid("Customer", "c_custkey").alias(SRC), vid("Nation", "c_nationkey").alias(DST))
+    firms = lambda: read("supplier").select((F.lit(5 * SHIFT) + F.col("s_suppkey")).alias(EID), vid("Supplier", "s_suppkey").alias(SRC), vid("Nation", "s_nationkey").alias(DST))
+    g.edges.later("CUSTOMER_OF", lambda: EdgeTable(people(), ("Customer",), ("Nation",)))
+    g.edges.later("SUPPLIER_OF", lambda: EdgeTable(firms(), ("Supplier",), ("Nation",)))
+    g.edges.later("IN_NATION", lambda: EdgeTable(people().unionAll(firms()), ("Customer", "Supplier"), ("Nation",)))
+
+    def numbered_items() -> DataFrame:
+        items = read("lineitem")
+        return items.withColumn("_h", F.xxhash64(*items.columns)).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(1))))
+
+    link("CONTAINS", ("Order", "l_orderkey"), ("Part", "l_partkey"), numbered_items, F.xxhash64("_h", "_n"), "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    link("SUPPLIED_BY", ("Part", "l_partkey"), ("Supplier", "l_suppkey"), lambda: read("lineitem").select("l_partkey", "l_suppkey").distinct(), F.lit(7 * SHIFT) + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey"))
+    talk = cache(lambda: read("conversations").select("conv_id", "turn", "role", "text", turn_vid().alias(VID)).dropDuplicates(["conv_id", "turn"]))
+    g.nodes.later("Turn", talk)
+
+    def next_turns() -> EdgeTable:
+        follow = talk().select("conv_id", (F.col("turn") - 1).alias("turn"), F.col(VID).alias(DST))
+        pairs = talk().select("conv_id", "turn", F.col(VID).alias(SRC)).join(follow, ["conv_id", "turn"])
+        return EdgeTable(pairs.select(F.col(SRC).alias(EID), SRC, DST), ("Turn",), ("Turn",))
+
+    g.edges.later("NEXT", next_turns)
     return g
 
 

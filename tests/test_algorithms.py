@@ -44,13 +44,27 @@ def test_sequential(p):
     assert len(set(Q.louvain(ids, edges).values())) == 4
     assert Q.max_flow(ids, [(1, 2, 3.0, 0), (1, 3, 2.0, 1), (2, 4, 2.0, 2), (3, 4, 3.0, 3), (2, 3, 5.0, 4)], 1, 4)[0] == 5.0
     assert [c for _, c in Q.k_shortest([(1, 2, 1, 0), (2, 4, 1, 1), (1, 3, 1, 2), (3, 4, 2, 3), (1, 4, 9, 4)], 1, 4, 3)] == [2, 3, 9]
-    assert sum(w for *_, w in Q.spanning_forest(ids, edges)) == sum(range(8)) - 2 - 6
     with pytest.raises(ValueError, match="bipartite"):
         Q.matching(ids, edges)
     assert len(Q.circuits(ids, edges)) == 2 and Q.find_cycle(ids, edges)[0] == Q.find_cycle(ids, edges)[-1]
     assert Q.walks(Q.adjacency(edges), [1], 3, 2, 1, 1, 5) == Q.walks(Q.adjacency(edges), [1], 3, 2, 1, 1, 5)
 
 
+def test_spanning_forest(p):
+    found = pairs(G.spanning_forest(p))
+    assert sum(w for *_, w in found) == sum(range(8)) - 2 - 6 and all(a < b for a, b, _ in found) and len(found) == 6
+
+
+def test_walks_by_joins(p, spark):
+    starts = spark.createDataFrame([(1,), (9,)], "id long")
+    walks = lambda seed: sorted(r.path for r in G.random_walks(p, 4, 12, starts, seed).collect())
+    found = walks(1)
+    assert len(found) == 24 and found == walks(1) and found != walks(2)
+    assert found[-12:] == [[9]] * 12 and all((a, b) in EDGES for w in found for a, b in zip(w, w[1:], strict=False))
+    heavy = G.Projection(p.ids, spark.createDataFrame([(1, 2, 0.0, 1), (1, 3, 5.0, 2)], "src long, dst long, w double, eid long"))
+    assert {tuple(r.path) for r in G.random_walks(heavy, 2, 20, starts.limit(1), 0).collect()} == {(1, 3)}
+
+
 def test_relax_negative_cycle(p, spark):
     from lattica.errors import CompileError
 
