@@ -174,7 +174,8 @@ refers("algo_node_similarity", f"CALL uni.algo.nodeSimilarity({CUSTOMERS}, 'JACC
 refers("algo_reachability", "CALL uni.algo.reachability(0, {edgeTypes: ['REFERS']}) YIELD nodeId, distance RETURN nodeId, distance", FROM_0 + "SELECT n AS nodeId, k AS distance FROM dist")
 refers("algo_expand", "CALL uni.path.expand(0, {edgeTypes: ['REFERS'], minLevel: 1, maxLevel: 2}) YIELD nodeId, level RETURN nodeId, level", FROM_0 + "SELECT n AS nodeId, k AS level FROM dist WHERE k BETWEEN 1 AND 2")
 refers("algo_shortest_path", "CALL uni.algo.shortestPath(0, 11, 'REFERS') YIELD length, nodeIds RETURN length, size(nodeIds) AS n", FROM_0 + "SELECT k AS length, k + 1 AS n FROM dist WHERE n = 11")
-refers("algo_maximal_cliques", f"CALL uni.algo.maximalCliques({CUSTOMERS}, 3) YIELD clique RETURN size(clique) AS n, count(*) AS cliques", f"WITH {REFERS}, t AS MATERIALIZED (SELECT a.s AS a, a.d AS b, b.d AS c FROM u a JOIN u b ON a.s = b.s AND a.d < b.d JOIN u c ON c.s = a.d AND c.d = b.d WHERE a.s < a.d), f AS MATERIALIZED (SELECT t.*, x.d FROM t JOIN u x ON x.s = a JOIN u y ON y.s = b AND y.d = x.d JOIN u z ON z.s = c AND z.d = x.d), g AS (SELECT f.*, x.d AS g FROM f JOIN u x ON x.s = a JOIN u y ON y.s = b AND y.d = x.d JOIN u z ON z.s = c AND z.d = x.d JOIN u w ON w.s = f.d AND w.d = x.d) SELECT 3::BIGINT AS n, count(*) AS cliques FROM t ANTI JOIN f USING (a, b, c) HAVING count(*) > 0 UNION ALL SELECT 4, count(*) FROM (SELECT * FROM f WHERE d > c) x ANTI JOIN g USING (a, b, c, d) HAVING count(*) > 0 UNION ALL SELECT 5, count(*) FROM g WHERE d > c AND g > d HAVING count(*) > 0")
+CLIQUES = f"WITH {REFERS}, t AS MATERIALIZED (SELECT a.s AS a, a.d AS b, b.d AS c FROM u a JOIN u b ON a.s = b.s AND a.d < b.d JOIN u c ON c.s = a.d AND c.d = b.d WHERE a.s < a.d), f AS MATERIALIZED (SELECT x.a, x.b, x.c, y.c AS d FROM t x JOIN t y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN u ON u.s = x.c AND u.d = y.c), g AS MATERIALIZED (SELECT x.a, x.b, x.c, x.d, y.d AS e FROM f x JOIN f y ON x.a = y.a AND x.b = y.b AND x.c = y.c AND x.d < y.d JOIN u ON u.s = x.d AND u.d = y.d), f3 AS (SELECT a, b, c FROM f UNION SELECT a, b, d FROM f UNION SELECT a, c, d FROM f UNION SELECT b, c, d FROM f), g4 AS (SELECT a, b, c, d FROM g UNION SELECT a, b, c, e FROM g UNION SELECT a, b, d, e FROM g UNION SELECT a, c, d, e FROM g UNION SELECT b, c, d, e FROM g)"
+refers("algo_maximal_cliques", f"CALL uni.algo.maximalCliques({CUSTOMERS}, 3) YIELD clique RETURN size(clique) AS n, count(*) AS cliques", CLIQUES + " SELECT * FROM (SELECT 3::BIGINT AS n, count(*) AS cliques FROM (FROM t EXCEPT FROM f3) UNION ALL SELECT 4, count(*) FROM (FROM f EXCEPT FROM g4) UNION ALL SELECT 5, count(*) FROM g) WHERE cliques > 0")
 
 # --- on the fixed graph of nations, whose answers SQL can enumerate -----------------------------------------------
 trade("algo_kcore", f"CALL uni.algo.kCore({AP}) YIELD nodeId, coreNumber RETURN nodeId, coreNumber", f"{CORE.replace('WITH RECURSIVE', 'WITH')}, it0 AS MATERIALIZED (SELECT id, (SELECT count(*) FROM u WHERE s = id) AS x FROM v), " + ", ".join(f"it{i} AS MATERIALIZED (SELECT v.id, coalesce(max(least(x, r)), 0) AS x FROM v LEFT JOIN (SELECT u.s, p.x, row_number() OVER (PARTITION BY u.s ORDER BY p.x DESC) AS r FROM u JOIN it{i - 1} p ON p.id = u.d) q ON q.s = v.id GROUP BY 1)" for i in range(1, 13)) + " SELECT id AS nodeId, x::BIGINT AS coreNumber FROM it12")
@@ -182,8 +183,8 @@ cypher("algo_articulation_points", "CALL uni.algo.articulationPoints(['Nation',
 trade("algo_mst", f"CALL uni.algo.mst({AP}, 'weight') YIELD weight RETURN count(*) AS n, sum(weight) AS total", f"{CORE}, y AS (SELECT s, d, w FROM e UNION SELECT d, s, w FROM e), t AS (SELECT unnest(range(0, 6)) AS t), r AS (SELECT t, id AS a, id AS b FROM v, t UNION SELECT r.t, r.a, y.d FROM r JOIN y ON r.b = y.s AND y.w <= r.t), c AS (SELECT t, count(DISTINCT m) AS c FROM (SELECT t, a, min(b) AS m FROM r GROUP BY ALL) GROUP BY 1) SELECT sum(p.c - q.c)::BIGINT AS n, sum(q.t * (p.c - q.c))::DOUBLE AS total FROM c p JOIN c q ON q.t = p.t + 1")
 SIMPLE = f"WITH RECURSIVE {TRADES}, p(path, n, c) AS (SELECT [0::BIGINT], 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT list_append(p.path, e.d), e.d, p.c + e.w FROM p JOIN e ON p.n = e.s WHERE p.n <> 11 AND NOT list_contains(p.path, e.d)) "
 trade("algo_k_shortest", f"CALL uni.algo.kShortestPaths({AP}, 0, 11, 3, 'weight') YIELD cost, rank RETURN rank, cost", SIMPLE + "SELECT row_number() OVER (ORDER BY c) AS rank, c AS cost FROM p WHERE n = 11 ORDER BY c LIMIT 3")
-trade("algo_simple_paths", "CALL uni.algo.allSimplePaths(0, 11, 'TRADES', 6) YIELD path RETURN apoc.text.join([n IN path | toString(n)], ' ') AS path", SIMPLE + "SELECT array_to_string(path, ' ') AS path FROM p WHERE n = 11 AND len(path) <= 7")
-trade("algo_circuits", f"CALL uni.algo.elementaryCircuits({AP}, 1000) YIELD cycle RETURN size(cycle) AS len, count(*) AS n", f"WITH RECURSIVE {TRADES}, p(path, n) AS (SELECT [id], id FROM v UNION ALL SELECT list_append(p.path, e.d), e.d FROM p JOIN e ON p.n = e.s WHERE e.d > p.path[1] AND NOT list_contains(p.path, e.d)) SELECT len(path) AS len, count(*) AS n FROM p JOIN e ON e.s = p.n AND e.d = p.path[1] GROUP BY 1")
+trade("algo_simple_paths", "CALL uni.algo.allSimplePaths(0, 11, 'TRADES', 6) YIELD path RETURN reduce(s = '', n IN path | s + ' ' + toString(n)) AS path", SIMPLE + "SELECT ' ' || array_to_string(path, ' ') AS path FROM p WHERE n = 11 AND len(path) <= 7")
+trade("algo_circuits", f"CALL uni.algo.elementaryCircuits({AP}, 1000) YIELD cycle RETURN size(cycle) AS len, count(*) AS n", f"WITH RECURSIVE {TRADES}, p(path, n) AS (SELECT [id], id FROM v UNION ALL SELECT list_append(p.path, e.d), e.d FROM p JOIN e ON p.n = e.s WHERE e.d > p.path[1] AND NOT list_contains(p.path, e.d)) SELECT len(path) + 1 AS len, count(*) AS n FROM p JOIN e ON e.s = p.n AND e.d = p.path[1] GROUP BY 1")
 
 
 def coloring_valid(spark: SparkSession, folder: str) -> DataFrame:
