@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fold_of
+from .common import Memo, flat_binary, fold_of, release
 
 BITS = 20
 LEVELS = 9
@@ -193,10 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.binary())], names=["doc_id", "label", "feats"])
 
     found = labelled_sample(docs, labels, target, sample).mapInArrow(run, "doc_id long, label int, feats binary")
-    rows = found.orderBy("doc_id", "label", "feats").limit(2 * sample).toArrow()
+    table = found.orderBy("doc_id", "label", "feats").limit(2 * sample).toArrow()
+    taught = np.array(table["label"].to_pylist(), dtype=np.int64)
+    ends = np.cumsum(pc.divide(pc.binary_length(table["feats"]), 4).to_numpy().astype(np.int64))[:-1]
+    rows = np.split(flat_binary(table["feats"], "<i4"), ends) if len(taught) else []
+    del table
+    release()
     order = np.random.default_rng(1).permutation(len(rows))
-    feats, taught = rows["feats"], np.array(rows["label"].to_pylist(), dtype=np.int64)
-    return fit([np.frombuffer(feats[i].as_py(), dtype="<i4") for i in order.tolist()], taught[order])
+    return fit([rows[i] for i in order.tolist()], taught[order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

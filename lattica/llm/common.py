@@ -93,6 +93,19 @@ class Memo(dict):
         return value
 
 
+def flat_binary(column, kind: str):
+    """All values of an Arrow binary column one after the other, as numbers read from its buffers."""
+    import numpy as np
+
+    parts = [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            if ends[-1] > ends[0]:
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(parts)
+
+
 def release() -> None:
     """Give back what Arrow holds of batches that are gone; workers are used again by later stages."""
     import pyarrow as pa

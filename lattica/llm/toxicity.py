@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import labelled_sample, logistic
-from .common import WORD, Memo, materialise, release
+from .common import WORD, Memo, flat_binary, materialise, release
 
 BLOCK = 128
 
@@ -93,7 +93,9 @@ class Whole:
         """``words`` and ``counts`` of all examples one after the other, ``sizes`` words each."""
         n = len(sizes)
         self.n, self.k, self.near = n, k, near
-        self.words, term, df = np.unique(words, return_inverse=True, return_counts=True)
+        self.words = np.unique(words)
+        term = np.searchsorted(self.words, words)
+        df = np.bincount(term, minlength=len(self.words))
         order = np.lexsort((self.words, df))
         self.number = np.empty(len(order), dtype=np.int32)
         self.number[order] = np.arange(len(order), dtype=np.int32)
@@ -306,9 +308,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["doc_id", "label", "terms", "counts", "words", "times"])
 
     found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary, words binary, times binary")
-    table = found.orderBy("doc_id", "label", "words", "times").toArrow().combine_chunks()
+    table = found.orderBy("doc_id", "label", "words", "times").toArrow()
     ids, taught = table["doc_id"].to_pylist(), table["label"].to_pylist()
-    flat = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    flat = lambda name, kind: flat_binary(table[name], kind)
     sizes = lambda name, width: pc.divide(pc.binary_length(table[name]), width).to_numpy().astype(np.int64)
     ends = np.cumsum(sizes("terms", 4))[:-1]
     counts = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(np.split(flat("terms", "<i4"), ends), np.split(flat("counts", "<i4"), ends), strict=True)] if ids else []
@@ -316,6 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     words, times, lengths = flat("words", "<u8"), flat("times", "<i4"), sizes("words", 8)
     del table
     whole = index.whole = Whole(words, times, lengths, k, near)
+    release()
     own = lambda i: slice(whole.ends[i], whole.ends[i + 1])
     votes = [(index.vote(*whole.nearest(words[own(i)], times[own(i)], i)), index.labels[i]) for i, c in enumerate(counts) if not c]
     votes = [(v, label) for v, label in votes if v is not None]
