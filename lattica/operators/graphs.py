@@ -7,6 +7,7 @@ size to one process (``local``), as embedded engines do.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..catalog import DST, EID, LABELS, SRC, VID, Graph
 from ..errors import CompileError
 from ..storage import keep
+from . import sequential as Q
 
 LOCAL_EDGES = 1_000_000
 
@@ -170,6 +172,48 @@ def triangles(p: Projection) -> DataFrame:
     return p.ids.join(counts, F.col("id") == F.col("t"), "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
+def oriented(p: Projection) -> DataFrame:
+    """(src, dst): each pair that an edge joins once, from the lower to the higher (degree, id), so hubs have few out-edges."""
+    und = keep(p.edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "undirected")
+    deg = und.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    both = und.join(deg.select(F.col("x").alias("u"), F.col("n").alias("nu")), "u").join(deg.select(F.col("x").alias("v"), F.col("n").alias("nv")), "v")
+    up = F.col("nu") <= F.col("nv")
+    return keep(both.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("dst")), "oriented")
+
+
+def cliques(p: Projection, least: int = 2) -> DataFrame:
+    """(clique): maximal cliques of at least ``least`` vertices, each found at its vertex that is lowest by (degree, id).
+
+    A vertex's task holds the triangles in which it is lowest (its candidates and their edges) or in the middle (a lower vertex that
+    would extend a clique, so that clique belongs to another task). Edges in no triangle and vertices without edges are cliques by themselves.
+    """
+    edges = oriented(p)
+    wedges = edges.select(F.col("src").alias("a"), F.col("dst").alias("x")).join(edges.select(F.col("src").alias("a"), F.col("dst").alias("y")), "a").where("x < y")
+    closing = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.col("src").alias("b"), F.col("dst").alias("c"))
+    triads = keep(wedges.join(closing, ["x", "y"]).select("a", "b", "c"), "triads")
+    links = triads.select(F.col("a").alias("k"), F.col("b").alias("x"), F.col("c").alias("y"), F.lit(True).alias("later")).unionAll(triads.select(F.col("b").alias("k"), F.col("a").alias("x"), F.col("c").alias("y"), F.lit(False).alias("later")))
+
+    def run(key, rows):
+        import pandas as pd
+
+        adj, cand, seen = defaultdict(set), set(), set()
+        for x, y, later in zip(rows["x"].tolist(), rows["y"].tolist(), rows["later"].tolist(), strict=True):
+            adj[x].add(y)
+            adj[y].add(x)
+            (cand if later else seen).add(x)
+            cand.add(y)
+        return pd.DataFrame({"clique": list(Q.grown_cliques([int(key[0])], cand, seen, adj, least))}, dtype=object)
+
+    parts = [links.groupBy("k").applyInPandas(run, "clique array<long>")]
+    if least <= 2:
+        closed = triads.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("a").alias("src"), F.col("c").alias("dst")), F.struct(F.col("b").alias("src"), F.col("c").alias("dst")))).alias("e")).select("e.*")
+        parts.append(edges.join(closed, ["src", "dst"], "left_anti").select(F.array_sort(F.array("src", "dst")).alias("clique")))
+    if least <= 1:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("e"))
+        parts.append(p.ids.distinct().join(ends, F.col("id") == F.col("e"), "left_anti").select(F.array("id").alias("clique")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def core_numbers(p: Projection) -> DataFrame:
     """(id, core) by peeling: vertices of degree at most k go until none is left, then k grows."""
     edges = keep(p.undirected(), "undirected")

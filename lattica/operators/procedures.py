@@ -69,6 +69,11 @@ def triangle_count(ctx, args):
     return G.triangles(_project(ctx, args)).select(F.col("id").alias("nodeId"), F.col("triangles").alias("triangleCount"))
 
 
+@procedure("uni.algo.maximalCliques")
+def maximal_cliques(ctx, args):
+    return G.cliques(_project(ctx, args), arg(args, 2, 2))
+
+
 @procedure("uni.algo.kCore")
 def k_core(ctx, args):
     out = G.core_numbers(_project(ctx, args)).select(F.col("id").alias("nodeId"), F.col("core").alias("coreNumber"))
@@ -299,11 +304,6 @@ def betweenness(ctx, args):
     return p.ids.join(sums, "id", "left").select(F.col("id").alias("nodeId"), (F.coalesce("total", F.lit(0.0)) * scale).alias("score"))
 
 
-@procedure("uni.algo.maximalCliques")
-def maximal_cliques(ctx, args):
-    return _rows(ctx, [(c,) for c in Q.cliques(*_project(ctx, args).local("maximalCliques"), arg(args, 2, 2))], "clique array<long>")
-
-
 @procedure("uni.algo.graphColoring")
 def graph_coloring(ctx, args):
     return _rows(ctx, sorted(Q.colouring(*_project(ctx, args).local("graphColoring")).items()), "nodeId long, color long")

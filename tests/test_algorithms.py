@@ -1,11 +1,14 @@
 """Algorithms on a fixed graph, against plain Python."""
 
+import random
+
 import pytest
 
 from lattica.catalog import Graph
 from lattica.operators import graphs as G
 from lattica.operators import sequential as Q
 from lattica.operators.crdt import causal_register_merge, gset_merge, lww_merge, orset_merge, sequence_merge
+from lattica.session import Session
 
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (7, 8)]
 
@@ -50,6 +53,19 @@ def test_sequential(p):
     assert Q.walks(Q.adjacency(edges), [1], 3, 2, 1, 1, 5) == Q.walks(Q.adjacency(edges), [1], 3, 2, 1, 1, 5)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_cliques_by_joins(p, spark, monkeypatch, least):
+    rng = random.Random(5)
+    edges = [(i, a, b) for i, (a, b) in enumerate((rng.randrange(30), rng.randrange(30)) for _ in range(260))] + [(900 + i, 40, 50 + i) for i in range(12)] + [(950, 50, 51), (951, 60, 60)]
+    g = Graph(spark)
+    g.add_nodes("N", spark.range(64).selectExpr("id AS _vid"))
+    g.add_edges("E", spark.createDataFrame(edges, "_eid long, _src long, _dst long"), "N", "N")
+    monkeypatch.setattr(G, "LOCAL_EDGES", 3)  # they don't go to one process
+    found = Session(g).query("CALL uni.algo.maximalCliques(['N'], ['E'], $least) YIELD clique RETURN clique", least=least).collect()
+    assert sorted(list(r.clique) for r in found) == Q.cliques(range(64), [(a, b) for _, a, b in edges], least)
+    assert max(len(r.clique) for r in found) > 3
+
+
 def test_spanning_forest(p):
     found = pairs(G.spanning_forest(p))
     assert sum(w for *_, w in found) == sum(range(8)) - 2 - 6 and all(a < b for a, b, _ in found) and len(found) == 6
