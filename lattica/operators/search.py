@@ -155,7 +155,10 @@ def maxsim_query(ctx, df: DataFrame, prop: str, query, k) -> DataFrame:
 
 
 def fts_query(ctx, args) -> DataFrame:
-    """label, property, text, k[, threshold]: BM25 divided by the best score; scores that agree in nine digits are ties."""
+    """label, property, text, k[, threshold]: BM25 divided by the best score; scores that agree in nine digits are ties.
+
+    Where k is null, all rows that hold a term and reach the threshold are found.
+    """
     label, prop, query, k = args[:4]
     threshold = args[4] if len(args) > 4 else None
     df = _label(ctx, label)
@@ -164,8 +167,8 @@ def fts_query(ctx, args) -> DataFrame:
     out = scored.crossJoin(F.broadcast(best)).select(VID, F.round(F.col("score") / F.col("top"), 9).alias("score"))
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
-    top = out.orderBy(F.col("score").desc(), VID).limit(int(k))
-    return df.join(F.broadcast(top.select(F.col(VID).alias("vid"), "score")), F.col(VID) == F.col("vid")).select("vid", "score", _node(df))  # k rows
+    found = (out if k is None else out.orderBy(F.col("score").desc(), VID).limit(int(k))).select(F.col(VID).alias("vid"), "score")
+    return df.join(found if k is None else F.broadcast(found), F.col(VID) == F.col("vid")).select("vid", "score", _node(df))  # k rows at most are broadcast
 
 
 def sparse_query(ctx, args) -> DataFrame:

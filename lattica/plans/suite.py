@@ -243,7 +243,7 @@ cypher("vector_similarity_rows", "MATCH (v:Vec) RETURN v.vec_id AS id, round(vec
 TERMS = "regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '([\\p{L}\\p{N}]+)')"
 BM25 = f"WITH t AS (SELECT doc_id, list_filter({TERMS}, lambda x: length(x) <= 40) AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t), h AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t) WHERE term IN ('license', 'apache', 'version') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), sc AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM h JOIN df USING (term), st GROUP BY 1)"
 cypher("fts_query", "CALL uni.fts.query('Document', 'text', 'Apache License version', 10) YIELD node, score RETURN node.doc_id AS id, round(score, 6) AS s", BM25 + " SELECT doc_id AS id, round(score / (SELECT max(score) FROM sc), 6) AS s FROM sc ORDER BY round(score / (SELECT max(score) FROM sc), 9) DESC, doc_id LIMIT 10")
-cypher("fts_threshold", "CALL uni.fts.query('Document', 'text', 'Apache License version', 1000, 0.8) YIELD score RETURN count(*) AS n", BM25 + " SELECT count(*) AS n FROM sc WHERE round(score / (SELECT max(score) FROM sc), 9) >= 0.8")
+cypher("fts_threshold", "CALL uni.fts.query('Document', 'text', 'Apache License version', null, 0.8) YIELD score RETURN count(*) AS n", BM25 + " SELECT count(*) AS n FROM sc WHERE round(score / (SELECT max(score) FROM sc), 9) >= 0.8")
 
 
 def sparse_graph(spark: SparkSession, folder: str) -> Graph:

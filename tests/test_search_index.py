@@ -56,6 +56,13 @@ def graph(spark):
     return project(g, ["N"], ["E"], "w")
 
 
+def test_full_text_search_without_k_finds_all(spark):
+    texts = spark.range(1500).selectExpr("id AS _vid", "id AS k", "if(id < 1200, 'the apache license', if(id < 1400, concat('license ', repeat('word ', 30)), 'nothing')) AS text")
+    s = Session(Graph(spark).add_nodes("D", texts))
+    count = lambda more: s.query(f"CALL uni.fts.query('D', 'text', 'apache license', {more}) YIELD node, score RETURN count(node.k) AS n").first().n
+    assert count("null, 0.8") == 1200 and count("null") == 1400 and count("1000, 0.8") == 1000
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 

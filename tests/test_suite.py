@@ -45,3 +45,11 @@ def test_as_its_sql(spark, database, name):
     assert sorted(found) == columns
     want = [[plain(row[found.index(c)]) for c in columns] for row in cursor.fetchall()]
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(map(repr, want))
+
+
+def test_threshold_search_counts_every_match(spark, tmp_path):
+    spark.range(1100).selectExpr("id AS doc_id", "'Apache License version two' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(suite.oracle_sql()["fts_threshold"]).fetchall()
+    assert [tuple(r) for r in suite.queries()["fts_threshold"](spark, str(tmp_path)).collect()] == want == [(1100,)]
