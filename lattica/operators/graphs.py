@@ -335,17 +335,24 @@ def peel(p: Projection) -> tuple[DataFrame, DataFrame]:
 
 
 def similar_vertices(p: Projection, metric: str = "JACCARD", cutoff: float = 0.1, top: int = 10) -> DataFrame:
-    """(node1, node2, similarity): overlap of out-neighbour sets, the ``top`` best of each vertex."""
-    out = keep(p.edges.select("src", "dst").distinct(), "edges")
-    deg = out.groupBy("src").agg(F.count("*").alias("n"))
-    pairs = out.select(F.col("src").alias("a"), "dst").join(out.select(F.col("src").alias("b"), "dst"), "dst").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    j = pairs.join(deg.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(deg.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
-    score = {"JACCARD": F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), "OVERLAP": F.col("common") / F.least("na", "nb"), "COSINE": F.col("common") / F.sqrt(F.col("na") * F.col("nb"))}.get(metric.upper())
+    """(node1, node2, similarity): overlap of out-neighbour sets, the ``top`` best of each vertex.
+
+    An edge carries its vertex's degree, so pairs with a common neighbour move once, each in one direction; both directions are
+    made of those that reach the cutoff.
+    """
+    common, na, nb = F.col("common"), F.col("na"), F.col("nb")
+    score = {"JACCARD": common / (na + nb - common), "OVERLAP": common / F.least(na, nb), "COSINE": common / F.sqrt(na * nb)}.get(metric.upper())
     if score is None:
         raise CompileError(f"unknown metric {metric}")
-    scored = j.select(F.col("a").alias("node1"), F.col("b").alias("node2"), score.cast("double").alias("similarity")).where(F.col("similarity") >= cutoff)
+    linked = p.edges.select("src", "dst").distinct()
+    deg = linked.groupBy("src").agg(F.count("*").alias("n"))
+    out = keep(linked.join(deg, "src"), "edges")
+    a, b = (out.select("dst", F.col("src").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = a.join(b, "dst").where("a < b").select("a", "na", "b", "nb").repartition("a", "b")  # few repeat, so counts of parts before the exchange don't pay
+    scored = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb")).select("a", "b", score.cast("double").alias("similarity")).where(F.col("similarity") >= cutoff)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("node1"), F.col("b").alias("node2")), F.struct(F.col("b").alias("node1"), F.col("a").alias("node2"))))
     w = Window.partitionBy("node1").orderBy(F.col("similarity").desc(), "node2")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
+    return scored.select(ways.alias("way"), "similarity").select("way.node1", "way.node2", "similarity").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
 
 
 def pregel(p: Projection, initial, message, combine: Callable, update: Callable, rounds: int = 20) -> DataFrame:

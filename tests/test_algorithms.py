@@ -66,6 +66,25 @@ def test_cliques_by_joins(p, spark, monkeypatch, least):
     assert max(len(r.clique) for r in found) > 3
 
 
+def test_similar_vertices_move_each_pair_once(spark):
+    rng = random.Random(7)
+    edges = [(i, rng.randrange(25), rng.randrange(25)) for i in range(120)] + [(500 + i, i, 30) for i in range(25)]  # 30 is a hub
+    g = Graph(spark)
+    g.add_nodes("N", spark.range(31).selectExpr("id AS _vid"))
+    g.add_edges("E", spark.createDataFrame(edges, "_eid long, _src long, _dst long"), "N", "N")
+    out = {}
+    for _, a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for metric, of in (("JACCARD", lambda c, x, y: c / (x + y - c)), ("OVERLAP", lambda c, x, y: c / min(x, y)), ("COSINE", lambda c, x, y: c / (x * y) ** 0.5)):
+        df = G.similar_vertices(G.project(g, ["N"], ["E"]), metric, 0.2, 3)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # degrees go with the edges, not to the pairs
+        want = set()
+        for a in out:
+            scored = [(-round(of(len(out[a] & out[b]), len(out[a]), len(out[b])), 9), b) for b in out if a != b and out[a] & out[b]]
+            want |= {(a, b, -s) for s, b in sorted(x for x in scored if -x[0] >= 0.2)[:3]}
+        assert {(a, b, round(s, 9)) for a, b, s in pairs(df)} == want
+
+
 def test_spanning_forest(p):
     found = pairs(G.spanning_forest(p))
     assert sum(w for *_, w in found) == sum(range(8)) - 2 - 6 and all(a < b for a, b, _ in found) and len(found) == 6
