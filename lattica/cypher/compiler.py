@@ -85,9 +85,9 @@ def parameters_of(tree) -> set[str]:
     return found
 
 
-def property_needs(tree) -> dict[str, set[str]]:
-    """Properties read of each name; '*' where the whole entity is used."""
-    needs: dict[str, set[str]] = {}
+def property_needs(tree) -> dict[str | tuple[str, str], set[str]]:
+    """Properties read of each name; '*' where the whole entity is used. ("same", name) is there where it is a key: grouped, counted apart or passed on."""
+    needs: dict[str | tuple[str, str], set[str]] = {}
 
     def expr(e, parent=None):
         if not isinstance(e, tuple) or not e:
@@ -104,6 +104,8 @@ def property_needs(tree) -> dict[str, set[str]]:
             needs.setdefault(e[2][0][1], set())
             if e[1] in ("startnode", "endnode"):
                 needs[e[2][0][1]].add("*")
+            if e[1] == "count" and e[3:] and e[3]:
+                needs.setdefault(("same", e[2][0][1]), set()).add("*")
             return
         if e[0] in ("isnull", "haslabel") and e[1][0] == "var":
             return
@@ -126,8 +128,11 @@ def property_needs(tree) -> dict[str, set[str]]:
         elif isinstance(x, A.Projection):
             for e, alias in x.items:
                 if e[0] == "var" and e[1] == alias and not x.final:
+                    needs.setdefault(("same", e[1]), set()).add("*")
                     continue  # passed on under its name: later uses count
                 tree_(e)
+            if x.star:
+                needs.setdefault(("same", "*"), set()).add("*")
             if x.star and x.final:
                 needs.setdefault("*", set()).add("*")
             for y in (x.order, x.where, x.skip, x.limit):

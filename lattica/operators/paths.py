@@ -21,6 +21,8 @@ from ..storage import keep
 LAZY_LEVELS = 3
 #: Written levels that are read one by one before they are written as one table.
 LEVELS_APART = 16
+#: Rows that one generator repeats at a time.
+REPEATED = 4096
 NODE_T = "struct<_vid:bigint,_labels:array<string>,_props:map<string,string>>"
 REL_T = "struct<_eid:bigint,_src:bigint,_dst:bigint,_type:string>"
 
@@ -224,8 +226,10 @@ def shortest(planner, path, elements, state: State, hints: dict) -> State:
     s, t = state.scope[left.var].ident, state.scope[right.var].ident
     edges, entry, a, b, _ = planner.edge_frame(rel, True, (), [])
     edges = planner.rel_filters(rel, entry, edges, {})
-    steps = keep(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(entry.ident).alias("_id"), planner.rel_struct(entry).alias("_rel")), "edges")
     pairs = keep(state.df.select(F.col(s).alias("_s"), F.col(t).alias("_t")).distinct().where("_s is not null and _t is not null"), "pairs")
+    if not _contents(planner, path, rel):
+        return _counted(planner, path, state, s, t, pairs, edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")), low, high)
+    steps = keep(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(entry.ident).alias("_id"), planner.rel_struct(entry).alias("_rel")), "edges")
     rel_list, node_list = F.array().cast(f"array<{REL_T}>"), F.array().cast(f"array<{NODE_T}>")
     frontier = pairs.select("_s").distinct().select("_s", F.col("_s").alias("_c"), rel_list.alias("_rels"), node_list.alias("_nodes"))
     parts = [frontier.select("_s", "_c")]
@@ -258,6 +262,45 @@ def shortest(planner, path, elements, state: State, hints: dict) -> State:
     return State(df, scope)
 
 
+def _contents(planner, path, rel) -> bool:
+    """Whether a query reads more of a shortest path than its length and how many there are."""
+    needs = planner.ctx.needs
+    named = rel.var and not rel.var.startswith("__r")
+    return bool(named or path.var and any(needs.get(k) for k in (path.var, ("same", path.var), "*", ("same", "*"))))
+
+
+def _counted(planner, path, state: State, s: str, t: str, pairs: DataFrame, edges: DataFrame, low: int, high: int | None) -> State:
+    """Shortest paths of which only the lengths and numbers are read: a level holds each vertex once, with the number of its paths.
+
+    A row is repeated for each of its paths after the last join, so what is moved and written doesn't grow with the number of paths.
+    """
+    one = path.selector == "shortest"
+    steps = keep(edges.distinct().withColumn("_m", F.lit(1).cast("long")) if one else edges.groupBy("_a", "_b").agg(F.count("*").alias("_m")), "edges")
+    frontier = keep(pairs.select("_s").distinct().select("_s", F.col("_s").alias("_c"), F.lit(1).cast("long").alias("_n"), F.lit(0).alias("_k")), "bfs")
+    parts = [frontier]
+    left = pairs.where("_s <> _t").count()
+    for level in hops(high, planner.ctx.settings):
+        if not left:
+            break
+        nxt = frontier.join(steps, F.col("_c") == F.col("_a")).groupBy("_s", F.col("_b").alias("_c")).agg((F.max("_m") if one else F.sum(F.col("_n") * F.col("_m"))).alias("_n"))
+        frontier = keep(nxt.join(gather(parts, "bfs").select("_s", "_c"), ["_s", "_c"], "left_anti").select("_s", "_c", "_n", F.lit(level).alias("_k")), "bfs")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        left -= frontier.join(pairs.select("_s", F.col("_t").alias("_c")), ["_s", "_c"], "left_semi").count()
+    ends = gather(parts, "bfs").where("_k > 0" if low else "true")
+    c, n, k = fresh("path"), fresh("n"), fresh("k")
+    ks, kt = fresh("k"), fresh("k")
+    df = state.df.join(ends.select(F.col("_s").alias(ks), F.col("_c").alias(kt), F.col("_n").alias(n), F.col("_k").alias(k)), (F.col(s) == F.col(ks)) & (F.col(t) == F.col(kt))).drop(ks, kt)
+    if not one:
+        block, each = fresh("b"), fresh("i")
+        df = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {REPEATED}"))))
+        df = df.withColumn(each, F.explode(F.array_repeat(F.lit(0), F.least(F.lit(REPEATED), F.col(n) - F.col(block) * REPEATED).cast("int")))).drop(block, each)
+    if path.var:
+        df = df.withColumn(c, F.struct(F.array().cast(f"array<{NODE_T}>").alias("nodes"), F.array_repeat(F.lit(None).cast(REL_T), F.col(k)).alias("relationships")))
+    return State(df.drop(n, k), {**state.scope, **({path.var: Entry("value", c)} if path.var else {})})
+
+
 def _k_shortest(planner, path, left, rel, right, state: State) -> State:
     """The k shortest trails of each pair, by length and then relationship ids."""
     hop = A.RelPat(rel.var, rel.types, rel.direction, rel.low if rel.variable else 1, (rel.high if rel.variable else 1) or 8, True, rel.props, rel.where)

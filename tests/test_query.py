@@ -5,8 +5,12 @@ import math
 import pytest
 
 from lattica.catalog import Graph
+from lattica.cypher.compiler import property_needs
+from lattica.cypher.parser import parse
 from lattica.errors import CompileError, ConstraintError, MissingParameter
+from lattica.operators import paths
 from lattica.session import Session
+from lattica.storage import keep
 
 
 @pytest.fixture
@@ -79,6 +83,29 @@ def test_shortest(people):
     assert one(people, "MATCH (a:Person {name: 'Ann'}), (b:Person {name: 'Cid'}) MATCH p = allShortestPaths((a)-[:KNOWS*]->(b)) RETURN count(p) AS n") == (2,)
 
 
+def test_shortest_counted_without_their_contents(spark, monkeypatch):
+    g = Graph(spark)
+    g.add_nodes("N", spark.range(20).selectExpr("id AS _vid", "id AS k"))
+    steps = [(a, b) for a in range(15) for b in range(15) if b // 3 == a // 3 + 1] + [(0, 3), (0, 0), (4, 1)]  # layers of three, a parallel edge, a loop, a way back
+    g.add_edges("E", spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(steps)], "_eid long, _src long, _dst long"), "N", "N")
+    s = Session(g)
+    ask = lambda how, more, back: rows(s, f"MATCH (a:N), (b:N) WHERE a.k IN [0, 4] AND b.k IN [0, 1, 9, 12, 18] MATCH p = {how}((a)-[:E*{more}]->(b)) RETURN a.k AS a, b.k AS b, {back} ORDER BY a, b")
+    monkeypatch.setattr(paths, "REPEATED", 2)
+    assert ask("allShortestPaths", "", "count(p) AS n, max(length(p)) AS l") == [(0, 1, 1, 2), (0, 9, 12, 3), (0, 12, 36, 4), (4, 1, 1, 1), (4, 9, 3, 2), (4, 12, 9, 3)]
+    for how, more in (("shortestPath", "0.."), ("allShortestPaths", "0..3")):
+        assert ask(how, more, "count(p) AS n, max(length(p)) AS l") == ask(how, more, "size(collect(relationships(p))) AS n, max(size(relationships(p))) AS l")
+    kept = []
+    monkeypatch.setattr(paths, "keep", lambda df, name="table": kept.append(df.columns) or keep(df, name))
+    ask("allShortestPaths", "", "count(p) AS n")
+    assert kept and not any({"_rels", "_nodes", "_rel"} & set(c) for c in kept)  # levels hold vertices, not paths
+
+
+def test_a_path_that_is_a_key_keeps_its_contents():
+    same = lambda text: {k[1] for k in property_needs(parse("MATCH p = allShortestPaths((a)-[:E*]->(b)) " + text)) if isinstance(k, tuple)}
+    assert same("RETURN count(DISTINCT p) AS n") == {"p"} and same("WITH p, count(*) AS k RETURN k") == {"p"} and same("WITH DISTINCT * RETURN count(p) AS n") == {"*"}
+    assert same("RETURN count(p) AS n, max(length(p)) AS l") == set()
+
+
 def test_optional_and_existence(people):
     assert rows(people, "MATCH (p:Person) OPTIONAL MATCH (p)-[:LIVES]->(c:City) RETURN p.name AS p, c.name AS c ORDER BY p")[:2] == [("Ann", "Ulm"), ("Bob", None)]
     assert rows(people, "MATCH (p:Person) WHERE NOT (p)-[:KNOWS]->() RETURN p.name AS p") == [("Eve",)]
