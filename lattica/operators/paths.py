@@ -263,10 +263,10 @@ def shortest(planner, path, elements, state: State, hints: dict) -> State:
 
 
 def _contents(planner, path, rel) -> bool:
-    """Whether a query reads more of a shortest path than its length and how many there are."""
+    """Whether a query reads more of a shortest path than its length and how many there are; a path of an expression, of which no use is known, counts as read."""
     needs = planner.ctx.needs
     named = rel.var and not rel.var.startswith("__r")
-    return bool(named or path.var and any(needs.get(k) for k in (path.var, ("same", path.var), "*", ("same", "*"))))
+    return bool(named or path.var and (path.var not in needs or any(needs.get(k) for k in (path.var, ("same", path.var), "*", ("same", "*")))))
 
 
 def _counted(planner, path, state: State, s: str, t: str, pairs: DataFrame, edges: DataFrame, low: int, high: int | None) -> State:

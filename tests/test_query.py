@@ -100,6 +100,10 @@ def test_shortest_counted_without_their_contents(spark, monkeypatch):
     assert kept and not any({"_rels", "_nodes", "_rel"} & set(c) for c in kept)  # levels hold vertices, not paths
 
 
+def test_shortest_in_an_expression_keeps_its_contents(people):
+    assert one(people, "MATCH (a:Person {name: 'Ann'}), (b:Person {name: 'Cid'}) RETURN [n IN nodes(shortestPath((a)-[:KNOWS*]->(b))) | n._vid] AS v") == ([1, 2, 3],)
+
+
 def test_a_path_that_is_a_key_keeps_its_contents():
     same = lambda text: {k[1] for k in property_needs(parse("MATCH p = allShortestPaths((a)-[:E*]->(b)) " + text)) if isinstance(k, tuple)}
     assert same("RETURN count(DISTINCT p) AS n") == {"p"} and same("WITH p, count(*) AS k RETURN k") == {"p"} and same("WITH DISTINCT * RETURN count(p) AS n") == {"*"}
