@@ -17,7 +17,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import operator
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,18 +29,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, flat_binary, fold_of, release
+from .common import Memo, flat_binary, fold_of, release, slices
 
 BITS = 20
 LEVELS = 9
 RUN = re.compile(r"(.)\1{2,}")
+SAME = re.compile(r"([Aa0])\1+")
+
+#: Kinds of characters by code point, for str.translate.
+_kinds = Memo(lambda point: "A" if (c := chr(point)).isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c)
+
+
+def _collapse(kinds: str) -> str:
+    return RUN.sub(r"\1\1\1", SAME.sub(r"\1", kinds))
 
 
 def shape(sign: str) -> str:
     """Letters by case in runs of one, digits as 0, other signs kept in runs of three at most."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in sign)
-    out = re.sub(r"([Aa0])\1+", r"\1", out)
-    return RUN.sub(r"\1\1\1", out)
+    return _collapse(sign.translate(_kinds))
 
 
 def pieces(sign: str) -> list[str]:
@@ -48,19 +56,30 @@ def pieces(sign: str) -> list[str]:
 
 
 def _code(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
+#: Codes of shapes, in the upper half; many signs have the same kinds of characters.
+_shapes = Memo(lambda kinds: _code(_collapse(kinds)) << 32, 50_000)
 #: Codes of a sign: its shape's in the upper half, its lower-case word's in the lower one.
-_codes = Memo(lambda sign: _code(shape(sign)) << 32 | _code(sign.lower()), 200_000)
+_codes = Memo(lambda sign: _shapes[sign.translate(_kinds)] | _code(sign.lower()), 200_000)
 HALF = np.uint64(32)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, as np.unique gives them."""
+    x = np.sort(x)
+    first = np.empty(len(x), dtype=bool)
+    first[:1] = True
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature numbers below 2^BITS."""
-    signs = [y for x in text.split() for y in (pieces(x) if len(x) > 16 else (x,))]
+    signs = text.split()
+    if signs and max(map(len, signs)) > 16:
+        signs = [y for x in signs for y in (pieces(x) if len(x) > 16 else (x,))]
     n = len(signs)
     lines = [x for x in text.split("\n") if x]
     extra = [_code(f"length {n.bit_length()}")]
@@ -71,9 +90,7 @@ def features(text: str) -> np.ndarray:
     words = (codes & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
     codes >>= HALF
     same = np.zeros(n, dtype=bool)
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(s, len(number)) for s in signs), np.int64, n)
-    same[1:] = ids[1:] == ids[:-1]
+    same[1:] = np.fromiter(map(operator.eq, signs, signs[1:]), bool, n - 1)
     codes = (codes * np.uint64(2) + same) * np.uint64(0x9E3779B97F4A7C15)
     pairs = (codes[:-1] ^ (codes[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
     couples = (words[:-1] ^ (words[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,11 +98,12 @@ def features(text: str) -> np.ndarray:
     for grams in (codes, pairs):
         found, counts = np.unique(grams, return_counts=True)
         level = np.minimum(np.floor(np.log2(n / counts)), LEVELS).astype(np.int64)
-        for i in range(LEVELS + 1):
-            at = found[level <= i]
-            parts.append(((at + np.uint64(i + 1)) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS))
+        times = LEVELS + 1 - level  # one for each level from its own on
+        ends = np.cumsum(times)
+        at = np.repeat(found, times) + (np.arange(times.sum()) - np.repeat(ends - LEVELS - 2, times)).astype(np.uint64)
+        parts.append((at * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS))
     parts.append(np.array(extra, dtype=np.uint64) & np.uint64((1 << BITS) - 1))
-    return np.unique(np.concatenate(parts)).astype(np.int64)
+    return distinct(np.concatenate(parts).astype(np.int32)).astype(np.int64)
 
 
 @dataclass
@@ -190,8 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = [features(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            feats = [features(t).astype("<i4").tobytes() for part in slices(batch) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.binary())], names=["doc_id", "label", "feats"])
+            del batch, feats
+            release()
 
     found = labelled_sample(docs, labels, target, sample).mapInArrow(run, "doc_id long, label int, feats binary")
     table = found.orderBy("doc_id", "label", "feats").limit(2 * sample).toArrow()
@@ -211,7 +231,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(features(t)) for t in batch.column(1).to_pylist()], pa.float64())], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(features(t)) for part in slices(batch) for t in part.column(1).to_pylist()], pa.float64())], names=["key", "score"])
+            del batch
+            release()
 
     source = docs.select(docs[id_col].cast("long").alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("value"))
     return source.mapInArrow(run, "key long, score double").withColumnRenamed("key", id_col)

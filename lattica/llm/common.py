@@ -106,11 +106,29 @@ def flat_binary(column, kind: str):
     return np.concatenate(parts)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; where there is another C library, nothing."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
 def release() -> None:
-    """Give back what Arrow holds of batches that are gone; workers are used again by later stages."""
+    """Give back what Arrow and the C library hold of batches and texts that are gone; workers are used again by later stages."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch, size: int = 256):
+    """Parts of a batch of at most ``size`` rows, so that only their texts are Python strings at once."""
+    for a in range(0, len(batch), size):
+        yield batch.slice(a, size)
 
 
 @functools.cache
