@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, materialise, output_name
+from .common import WORD, Memo, materialise, output_name, release, slices
 
 K = 5
 #: Bits of the cells in which k-mers are counted.
@@ -217,11 +217,13 @@ def sketch_rows(docs: DataFrame, sketches: int, picks: int, id_col: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = [], []
-            for text in batch.column(2).to_pylist():
+            for text in (t for part in slices(batch) for t in part.column(2).to_pylist()):
                 words = word_hashes(text)
                 keys.append(xxhash.xxh128_hexdigest(words.tobytes()) if len(words) else None)
                 hashes.append(order_minhash(kmers(words), sketches, picks) if len(words) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "word_key", "sketch"])
+            del batch, keys, hashes
+            release()
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, word_key string, sketch array<long>")
 
@@ -242,9 +244,11 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = Memo(lambda text: kmers(word_hashes(text)), 16)
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            hit = [similar(recent[x], kmers(word_hashes(y)), similarity) for x, y in zip(ta, tb, strict=True)]
+            texts_of_pairs = (row for part in slices(batch) for row in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+            hit = [similar(recent[x], kmers(word_hashes(y)), similarity) for x, y in texts_of_pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            del batch
+            release()
 
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
 
@@ -326,7 +330,7 @@ def kmer_counts(texts: DataFrame, sample: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << CELLS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for part in slices(batch) for t in part.column(0).to_pylist()):
                 np.add.at(sums, (mix(label_occurrences(kmers(word_hashes(text)))) >> np.uint64(64 - CELLS)).astype(np.int64), 1)
         cells = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], names=["cell", "n"])
@@ -346,9 +350,12 @@ def exact_candidates(apart: DataFrame, texts: DataFrame, similarity: float, samp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            codes = [kmers(word_hashes(t)) for t in batch.column(2).to_pylist()]
-            rare = [rarest(c, counts, similarity).view(np.int64) for c in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(c) for c in codes], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["word_key", "root", "size", "rare"])
+            for part in slices(batch):
+                codes = [kmers(word_hashes(t)) for t in part.column(2).to_pylist()]
+                rare = [rarest(c, counts, similarity).view(np.int64) for c in codes]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(c) for c in codes], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["word_key", "root", "size", "rare"])
+            del batch
+            release()
 
     listed = whole.select("word_key", "root", "value").mapInArrow(run, "word_key string, root string, size long, rare array<long>")
     rows = materialise(listed.select("word_key", "root", "size", F.explode("rare").alias("bucket")), "rarest")

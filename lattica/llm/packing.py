@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import release, slices
 from .tokens import byte_tokenizer
 
 SMALLEST = 32
+#: Runs that a worker remembers between tasks, about 230 bytes each.
+RUNS = 200_000
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -84,7 +87,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         raise ValueError("capacity must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(vocabulary).encode
+        encode = byte_tokenizer(vocabulary, RUNS).encode
         end = end_id.to_bytes(4, "little")
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
@@ -97,7 +100,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in (row for part in slices(batch) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 ids = (encode(text) if text else b"") + end
                 total, start = len(ids) // 4, 0
                 for length in cut(total, capacity):
@@ -108,6 +111,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
                     size += 4 * capacity * bool(closed)
                 if size > 8_000_000:
                     yield flush()
+            del batch
+            release()
         rows += [(*p, sequence, offset) for p, sequence, offset in packer.finish()]
         if rows:
             yield flush()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import labelled_sample, logistic
-from .common import WORD, Memo, flat_binary, materialise, release
+from .common import WORD, Memo, flat_binary, materialise, release, slices
 
 BLOCK = 128
 
@@ -279,12 +279,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             return batch
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in (row for part in slices(batch) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 sums[label].update({t for w in set(WORD.findall(text.lower())) for t in _terms[w]})
                 if len(sums[0]) + len(sums[1]) > 200_000:
                     yield flush()
         if sums[0] or sums[1]:
             yield flush()
+        _terms.clear()  # no later stage reads it
+        release()
 
     counted = rows.select("value", "label").mapInArrow(count, "term string, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     counted = materialise(counted.where(F.col("c1") >= least), "toxicity-terms")
@@ -300,12 +302,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
         of = Vectors(chosen)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in (t for part in slices(batch) for t in part.column(1).to_pylist()):
                 counts, hashes = of.read(text)
                 words, n = word_counts(hashes)
                 own = sorted(counts)
                 rows.append((np.array(own, "<i4").tobytes(), np.array([counts[t] for t in own], "<i4").tobytes(), words.astype("<u8").tobytes(), n.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["doc_id", "label", "terms", "counts", "words", "times"])
+            del batch, rows
+            release()
 
     found = rows.select("doc_id", "value", "label").mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary, words binary, times binary")
     table = found.orderBy("doc_id", "label", "words", "times").toArrow()

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from lattica.llm import neardup, quality, toxicity
+from lattica.llm.common import release
 
 from .helpers import SF, clashing, documents, empty, odd
 
@@ -61,3 +62,19 @@ def test_odd_and_empty_tables(spark):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
             out.count()
+
+
+def test_workers_give_back_the_memory_of_texts_that_are_gone():
+    """What a stage frees leaves the process, also below what stays; a worker that keeps it has it on top of the next stage's."""
+
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:"))
+
+    release()
+    texts = ["x" * 20_000 + str(i) for i in range(6_000)]
+    stays = "y" * 20_000 + str(len(texts))
+    most = held()
+    del texts
+    release()
+    assert stays and most - held() > 90_000  # kB, of 120,000
