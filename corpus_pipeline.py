@@ -34,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10's pieces."""
-    return packed(docs)
+    """Operator 10's pieces; fewer runs are remembered, as other stages use the same workers."""
+    return packed(docs, runs=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_low_quality), ("near-duplicates", drop_near_duplicates), ("packing", pack_sequences)]

@@ -22,8 +22,6 @@ from .common import release, slices
 from .tokens import byte_tokenizer
 
 SMALLEST = 32
-#: Runs that a worker remembers between tasks, about 230 bytes each.
-RUNS = 200_000
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -76,10 +74,11 @@ class Packer:
 SCHEMA = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", runs: int = 600_000) -> DataFrame:
     """One row for each piece: (id, start, length, ids BINARY, doc_tokens, sequence_id, offset).
 
-    ``sequence_id`` is the number of the partition times 2^33 plus the bin's number there.
+    ``sequence_id`` is the number of the partition times 2^33 plus the bin's number there. A worker remembers
+    ``runs`` runs between tasks, about 230 bytes each.
     """
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -87,7 +86,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         raise ValueError("capacity must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(vocabulary, RUNS).encode
+        encode = byte_tokenizer(vocabulary, runs).encode
         end = end_id.to_bytes(4, "little")
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []

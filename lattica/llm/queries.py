@@ -70,8 +70,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+def packed(docs: DataFrame, runs: int = 600_000) -> DataFrame:
+    pieces = packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=1024, end_id=0, runs=runs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
